@@ -1,0 +1,6 @@
+"""All queries of the library outside the language-model subpackage."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
