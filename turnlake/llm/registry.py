@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from turnlake.llm import language_id
+from turnlake.llm import language_id, pii, toxicity
 
-QUERIES = {"op5_language_id": language_id.query}
+QUERIES = {
+    "op4_pii": pii.query,
+    "op5_language_id": language_id.query,
+    "op9_toxicity": toxicity.query,
+}
 ORACLE_SQL: dict[str, str] = {}
