@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from turnlake.llm import language_id, pii, toxicity
+from turnlake.llm import flac, language_id, pii, toxicity
 
 QUERIES = {
     "op4_pii": pii.query,
     "op5_language_id": language_id.query,
+    "op7_flac": flac.query,
     "op9_toxicity": toxicity.query,
 }
 ORACLE_SQL: dict[str, str] = {}
