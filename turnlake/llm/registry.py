@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from turnlake.llm import flac, language_id, pii, toxicity
+from turnlake.llm import flac, language_id, near_dedup, pii, toxicity
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.query,
     "op4_pii": pii.query,
     "op5_language_id": language_id.query,
     "op7_flac": flac.query,
     "op9_toxicity": toxicity.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_near_dedup": near_dedup.ORACLE_SQL,
+}
