@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from turnlake.llm import flac, language_id, near_dedup, pii, toxicity
+from turnlake.llm import flac, language_id, line_dedup, near_dedup, packing, pii, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
+    "op2_packing": packing.query,
+    "op3_line_dedup": line_dedup.query,
     "op4_pii": pii.query,
     "op5_language_id": language_id.query,
     "op7_flac": flac.query,
@@ -13,4 +15,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_near_dedup": near_dedup.ORACLE_SQL,
+    "op3_line_dedup": line_dedup.ORACLE_SQL,
 }
