@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnlake.llm import flac, language_id, line_dedup, near_dedup, packing, pii, toxicity
+from turnlake.llm import additive_ann, flac, language_id, line_dedup, near_dedup, packing, pii, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_pii": pii.query,
     "op5_language_id": language_id.query,
     "op7_flac": flac.query,
+    "op8_additive_ann": additive_ann.query,
     "op9_toxicity": toxicity.query,
 }
 ORACLE_SQL = {
