@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnlake.llm import additive_ann, flac, language_id, line_dedup, near_dedup, packing, pii, toxicity
+from turnlake.llm import additive_ann, flac, language_id, line_dedup, mixing, near_dedup, packing, pii, secret_scan, toxicity
 
 QUERIES = {
     "op1_near_dedup": near_dedup.query,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op4_pii": pii.query,
     "op5_language_id": language_id.query,
+    "op6_mixing": mixing.query,
     "op7_flac": flac.query,
     "op8_additive_ann": additive_ann.query,
     "op9_toxicity": toxicity.query,
+    "op10_secret_scan": secret_scan.query,
 }
 ORACLE_SQL = {
     "op1_near_dedup": near_dedup.ORACLE_SQL,
