@@ -1,15 +1,66 @@
-"""The corpus pipeline: toxicity, line dedup, near dedup, mixing, packing."""
+"""The corpus pipeline: toxicity, line dedup, near dedup, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents; the last returns where each piece of each document goes. Classifiers learn from the labels table.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnlake.llm import line_dedup, mixing, near_dedup, packing, toxicity
+from turnlake.llm.common import shared_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below one half."""
+    net = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, net, into="_toxicity").where(F.col("_toxicity") < 0.5).select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of later occurrences of repeated passages; n_chars follows the text."""
+    done = line_dedup.remove_repeats(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity of 0.8 or more)."""
+    return near_dedup.deduplicated(docs, words=5, num=80, den=100).select(docs.columns)
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: documents as often as their fitted rates say, so that the quality domains hold their target shares."""
+    membership = mixing.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.sampled(mixing.mix(docs, membership), docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each piece of each document in the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_to_targets),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Trained classifiers, connected components and packing aren't SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        done = stage(spark, docs, sf_dir)
+        done.write.option("compression", "zstd").parquet(f"{base}/{name}")
+        docs = spark.read.schema(done.schema).parquet(f"{base}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
