@@ -1,0 +1,172 @@
+"""Packing invariants, mixing against numpy, the secret scan, the pipeline and the registry."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__
+import corpus_pipeline
+from turnlake.llm import mixing, near_dedup, packing, secret_scan, toxicity
+
+SF = "/root/testdata/sf0.001"
+
+
+def check_packing(sizes, lengths):
+    place, bins = packing.best_fit(sizes, lengths)
+    filled = {}
+    for n, (b, offset) in zip(sizes, place, strict=True):
+        filled.setdefault(b, []).append((offset, n))
+    assert sorted(filled) == list(range(len(bins)))
+    for b, parts in filled.items():
+        parts.sort()
+        assert all(o == sum(n for _, n in parts[:k]) for k, (o, _) in enumerate(parts))
+        total = sum(n for _, n in parts)
+        assert bins[b] == min(c for c in lengths if c >= total)
+    return sum(bins)
+
+
+def test_best_fit():
+    draw = random.Random(1)
+    for _ in range(50):
+        lengths = tuple(sorted(draw.sample(range(4, 60), draw.randrange(1, 5))))
+        sizes = [draw.randrange(1, max(lengths) + 1) for _ in range(draw.randrange(0, 60))]
+        check_packing(sizes, lengths)
+    sizes = [draw.randrange(1, 3000) for _ in range(4000)]
+    assert check_packing(sizes, packing.LENGTHS) < 1.03 * sum(sizes)
+    assert packing.best_fit([6, 4, 5, 5], (10,))[1] == [10, 10]
+    assert packing.best_fit([3], (4, 8, 16))[1] == [4]
+
+
+def test_pack_documents(spark):
+    rows = [(1, "a " * 20_000, "x"), (2, None, "x"), (3, "", "x"), (None, "b c", "x"), (5, "d", "x"), (5, "d", "x")] + [(k, "w " * (k % 90 + 1), "x") for k in range(10, 400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, bin_id string")
+    packed = packing.pack(df, shard_tokens=9000)
+    got = packed.collect()
+    tokens = {}
+    for r in got:
+        tokens.setdefault(r.doc_id, []).append((r.first_token, r.n_tokens))
+    assert sorted(tokens[1]) == [(0, 8192), (8192, 8192), (16384, 3616)] and tokens[5] == [(0, 1)] * 2 and tokens[None] == [(0, 2)]
+    assert {r.doc_id for r in got if r.bin_id is None} == {2, 3}
+    assert sum(r.n_tokens for r in got) == sum(len((t or "").split()) for _, t, _ in rows)
+    bins = {}
+    for r in got:
+        if r.bin_id is not None:
+            bins.setdefault((r.bin_id, r.bin_length), []).append((r.bin_offset, r.n_tokens))
+    for (_, length), parts in bins.items():
+        parts.sort()
+        assert all(a[0] + a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False)) and sum(n for _, n in parts) <= length
+    unique = df.where("doc_id IS NOT NULL AND doc_id <> 5")
+    seqs = packing.sequences(unique, packing.pack(unique, shard_tokens=9000)).collect()
+    assert all(len(r.text.split()) == r.n_tokens <= r.bin_length for r in seqs)
+    assert packing.pack(df.limit(0)).count() == 0
+
+
+def numpy_rates(t, p, goal):
+    """Nonnegative rates nearest to 1 (weighted by tokens) whose totals match, by many plain dual steps."""
+    pull = np.zeros(p.shape[1])
+    gram = (t[:, None] * p).T @ p
+    step = 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(200_000):
+        r = np.maximum(0, 1 - p @ pull)
+        pull += step * ((t * r) @ p - goal)
+    return np.maximum(0, 1 - p @ pull)
+
+
+def test_rates_against_numpy(spark):
+    draw = np.random.default_rng(2)
+    t = draw.integers(1, 400, 300).astype(float)
+    p = draw.dirichlet([0.3, 0.3, 0.3], 300)
+    targets = {"a": 0.7, "b": 0.2, "c": 0.1}
+    df = spark.createDataFrame([(float(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "t double, p array<double>")
+    pull = mixing.fit_rates(df, targets)
+    rates = np.maximum(0, 1 - p @ np.array(pull))
+    totals = (t * rates) @ p
+    assert np.allclose(totals / totals.sum(), [0.7, 0.2, 0.1], atol=1e-5) and (rates == 0).any()
+    assert np.allclose(rates, numpy_rates(t, p, totals.sum() * np.array([0.7, 0.2, 0.1])), atol=1e-3)
+    assert mixing.fit_rates(df.limit(0), targets) == [0.0, 0.0, 0.0]
+
+
+def test_mix_documents(spark):
+    draw = random.Random(3)
+    good = lambda: " ".join(draw.choice(("the", "cat", "sat", "on", "mats")) for _ in range(40))
+    low = lambda: " ".join(draw.choice(("$$$", "***", "|")) for _ in range(40))
+    rows = [(k, (low if k % 3 == 0 else good)(), 1.0, k) for k in range(600)] + [(None, None, 1.0, 0), (601, "", 1.0, 0), (602, good() * 500, 1.0, 0), (2, rows_two := good(), 1.0, 0)]
+    del rows_two
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, rate double, hashed bigint")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(0, 600, 2)] + [(1, None)], "doc_id bigint, quality int")
+    membership = mixing.learn(df, labels)
+    mixed = mixing.mix(df, membership, {"high": 0.9, "low": 0.1})
+    out = mixed.collect()
+    assert len(out) == len(rows) and all(r.rate >= 0 and abs(sum(r.posterior) - 1) < 1e-9 and abs(r.copies - r.rate) <= 1 for r in out)
+    expected = np.sum([np.array(r.posterior) * r.rate * r.n_tokens for r in out], axis=0)
+    assert np.allclose(expected / expected.sum(), [0.9, 0.1], atol=1e-4)
+    assert np.mean([(r.posterior[1] > 0.5) == (r.hashed % 3 == 0) for r in out[:600]]) > 0.97
+    assert mixing.sampled(mixed, df.columns).count() == sum(r.copies for r in out)
+    assert mixing.mix(df.limit(0), membership).count() == 0
+    for few, first in ((labels.where("quality = 1"), 1.0), (labels.limit(0), 0.5)):
+        assert mixing.mix(df.limit(5), mixing.learn(df, few)).first().posterior[0] == first
+
+
+def test_secret_scan(spark):
+    draw = random.Random(5)
+    key = lambda n=40: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    planted = [key() for _ in range(60)]
+    rows = [(k, f'some words token = "{s}" and more words', "src/app.py") for k, s in enumerate(planted)]
+    rows += [(100 + k, f"write to person.{k}77@mail{k}.example.com or call 123-456-789{k % 10} then 10.20.30.4{k}", "docs/a.md") for k in range(60)]
+    rows += [(300, None, None), (301, "", "x"), (None, f'password: "{key()}"', "x"), (303, "a" * 100_000 + "1", "x")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, path string, score string")
+    out = secret_scan.scan(df, path=F.col("path")).collect()
+    found = {r.candidate for r in out if r.secret}
+    assert set(planted) <= found and not any("@" in c for c in found)
+    assert {r.doc_id for r in out if r.secret} == {*range(60), None} | {r.doc_id for r in out if r.secret and r.doc_id == 303}
+    assert not {300, 301} & {r.doc_id for r in out} and all(0 <= r.score <= 1 for r in out)
+    assert secret_scan.scan(df.limit(0)).count() == 0
+
+
+def test_native_operators_have_no_python(spark):
+    for build in (lambda: mixing.query(spark, SF), lambda: secret_scan.query(spark, SF)):
+        plan = build()._jdf.queryExecution().executedPlan().toString()
+        assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
+    before = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        out.write.mode("overwrite").parquet(path := f"{near_dedup.Scratch(spark, name).path}/docs")
+        docs = spark.read.parquet(path)
+        assert {r.doc_id for r in docs.collect()} <= set(before)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert packed.agg(F.sum("n_tokens")).first()[0] == sum(len((r.text or "").split()) for r in docs.collect())
+
+
+def test_toxic_documents_go(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = toxicity.query(spark, sf).join(labels, "doc_id").where("held_out").collect()
+    toxic, clean = [r for r in rows if r.toxic == 1], [r for r in rows if r.toxic == 0]
+    assert np.mean([r.predicted for r in toxic]) > 0.8 and np.mean([r.predicted for r in clean]) < 0.02
+    assert docs.count() > 0
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_every_operator_is_registered(n):
+    assert any(q.startswith(f"op{n}_") for q in __spark_entry__.queries())
+
+
+def test_operators_against_sql(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for name in ("op1_near_dedup", "op3_line_dedup"):
+        rows = __spark_entry__.queries()[name](spark, SF)
+        found = db.execute(__spark_entry__.oracle_sql()[name])
+        columns = [c[0] for c in found.description]
+        assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in rows.collect())

@@ -273,7 +273,7 @@ def decode(streams: list[bytes]) -> list[np.ndarray | Damaged]:
             found.append(e)
             continue
         found.append(np.zeros(n, np.int8))
-        ends = [p[1] for p in points[1:]] + [len(media) - begin]
+        ends = [p[1] for p in points[1:]] + [len(media) - begin] * bool(points)
         for k, (p, end) in enumerate(zip(points, ends, strict=True)):
             first.append(at + begin + p[1])
             size.append(end - p[1])

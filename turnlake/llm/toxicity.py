@@ -296,6 +296,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, passes: int = 3,
     odds = log_odds(seen_types, totals)
     w["word"][word_row[word_row > 0], 0] = odds[word_row > 0]
     w["char"][:, 0] = log_odds(seen_grams, totals)
+    evidence = np.maximum(odds, char_means(w["char"][:, :1], buckets, per_type)[:, 0])
 
     def vectors(rows: np.ndarray) -> np.ndarray:
         near = buckets[spans(gram_first[rows], per_type[rows])]
@@ -313,10 +314,13 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, passes: int = 3,
         if turn:
             value = net.scores(net.projection(vectors(np.arange(len(types)))), flat[at[:, None] + np.arange(WINDOW)], sizes)
         else:
-            value = np.array([odds[flat[s : s + n]].max(initial=-9) for s, n in zip(at, sizes, strict=True)])
-        picked, least = [], 0.1 if turn else 0.6
-        for d, v in enumerate(np.split(value, cuts)):
-            if len(ids[d]) and (not y[d] or v.max() >= least):  # else nothing in the text speaks for its label
+            value = np.array([evidence[flat[s : s + n]].max(initial=-9) for s, n in zip(at, sizes, strict=True)])
+        each = np.split(value, cuts)
+        # a text of label 1 in which nothing speaks for the label is left out, but never more than a quarter of them
+        least = min(0.1 if turn else 0.6, float(np.quantile([v.max() for d, v in enumerate(each) if y[d]], 0.25)))
+        picked = []
+        for d, v in enumerate(each):
+            if len(ids[d]) and (not y[d] or v.max() >= least):
                 top = np.argsort(-v, kind="stable")[: 1 if y[d] else 2]
                 picked += [(d, firsts[d][k]) for k in top]
                 if not y[d]:
