@@ -154,3 +154,9 @@ def test_partitioning_does_not_change_results(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert out[0] == out[1]
+
+
+def test_targets_are_redacted_before_they_are_cut(spark):
+    secret = "x" * 110 + " password=hunter2hunter2hunter2"
+    r = redaction.gated_actions(spark.createDataFrame([(secret,)], "target_redacted string")).first()
+    assert "hunter2" not in r.target_redacted and len(r.target_redacted) == 120

@@ -113,3 +113,15 @@ def redact_spans(text: Column, spans: Column, least: float = 0.5) -> Column:
         return F.struct(F.replace(acc["text"], s["t"], tag).alias("text"), (acc["n"] + F.floor(gone / F.length(s["t"]))).cast("long").alias("n"))
 
     return F.aggregate(ordered, start, step)
+
+
+def gated_turns(turns: DataFrame) -> DataFrame:
+    """Turns as they may be written: text redacted (OP-49)."""
+    return redacted(turns, "redacted_text")
+
+
+def gated_actions(actions: DataFrame) -> DataFrame:
+    """Actions as they may be written: the target redacted first, then cut to one line (OP-49)."""
+    from turnlake.functions.text import preview
+
+    return redacted(actions, "target_redacted").withColumn("target_redacted", preview(F.col("target_redacted")))
