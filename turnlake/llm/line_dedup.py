@@ -70,7 +70,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     starts, cut = free_name(docs, "starts"), free_name(docs, "cut")
     covered = covered.withColumnRenamed("starts", starts)
-    joined = docs.join(covered, docs[doc_id].eqNullSafe(covered["_id"]) & (F.xxhash64(docs[text]) == covered["_of"]), "left")
+    # the same plan at every size: a broadcast that fits small inputs only would hide what large ones shuffle
+    joined = docs.join(covered.hint("merge"), docs[doc_id].eqNullSafe(covered["_id"]) & (F.xxhash64(docs[text]) == covered["_of"]), "left")
     done = joined.select(*(docs[c] for c in kept), F.col(starts), without(F.when(F.col(starts).isNotNull(), docs[text]), F.col(starts)).alias(cut))
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n"))).cast("long")
     new = F.when(F.col(starts).isNotNull(), F.col(f"{cut}.text")).otherwise(F.col(text))
