@@ -140,13 +140,17 @@ def axes() -> list[tuple[Column, Column]]:
     ]
 
 
+def claims(people: DataFrame) -> DataFrame:
+    """Every person's axes with their scores; a person without any has one row without badge."""
+    each = F.array(*[F.when(gate & (value > 0), F.struct(F.lit(k).alias("axis"), F.lit(BADGES[k]).alias("badge"), value.cast("double").alias("value"))) for k, (value, gate) in enumerate(axes())])
+    rows = people.select(*TEAM, "person", F.explode_outer(F.array_compact(each)).alias("a")).select(*TEAM, "person", "a.*")
+    most = F.max("value").over(Window.partitionBy(*TEAM, "axis"))
+    return rows.withColumn("score", F.col("value") / most).drop("value")
+
+
 def persona_candidates(people: DataFrame) -> DataFrame:
     """person, axis, badge and score (value over the axis' largest among those whom it admits) (OP-83)."""
-    each = F.array(*[F.when(gate, F.struct(F.lit(k).alias("axis"), F.lit(BADGES[k]).alias("badge"), value.cast("double").alias("value"))) for k, (value, gate) in enumerate(axes())])
-    rows = people.select(*TEAM, "person", F.explode(F.array_compact(each)).alias("a")).select(*TEAM, "person", "a.*")
-    most = F.max("value").over(Window.partitionBy(*TEAM, "axis"))
-    score = F.col("value") / F.when(most > 0, most).otherwise(1.0)
-    return rows.withColumn("score", score).where("value > 0").drop("value")
+    return claims(people).where(F.col("badge").isNotNull())
 
 
 def personas(people: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def personas(people: DataFrame) -> DataFrame:
 
     The greedy walk runs in one task for each team and week, over at most one row for each person and axis.
     """
-    found = people.select(*TEAM, "person").join(persona_candidates(people), [*TEAM, "person"], "left")
+    found = claims(people)
     schema = T.StructType([*[people.schema[c] for c in (*TEAM, "person")], T.StructField("badge", T.StringType())])
 
     def assign(table: pa.Table) -> pa.Table:

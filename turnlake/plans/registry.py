@@ -288,7 +288,7 @@ def fact_rows_query(spark, d):
 )
 def facts_merged(spark, d):
     """A stored snapshot, then a push of device d2 that holds one tool only: its other rows go, other devices stay."""
-    rows = fact_rows(spark, d).where("kind = 'session_span'")
+    rows = fact_rows(spark, d).where("kind = 'session_span'").persist()
     stored = rows.withColumns({"total_minutes": F.lit(-1).cast("long"), "received_ms": F.lit(1).cast("long")}).where("device = 'd2'").unionByName(rows.where("device <> 'd2'").withColumn("received_ms", F.lit(1).cast("long")))
     push = rows.where("device = 'd2' AND tool = 'codex'").withColumn("received_ms", F.lit(2).cast("long"))
     return sinks.merge_snapshot(stored, push).select("kind", "device", "day", "tool", "total_minutes")
@@ -350,6 +350,7 @@ def person_week(spark, d):
 )
 def team_week(spark, d):
     cells, spans, drives = team_facts(spark, d)
+    cells, spans = cells.persist(), spans.persist()
     out = recap.team_week(recap.person_week(cells, spans, drives), recap.tool_counts(cells, spans))
     return out.select("team", "week_start", "people", "minutes", "hours", "turns", "work_weeks", "tool_count", "delegate_turns", "research_pct", "longest_minutes", "longest_person")
 
@@ -409,8 +410,9 @@ def personas(spark, d):
 @registered("recap_cards")
 def recap_cards(spark, d):
     cells, spans, drives = team_facts(spark, d)
-    people = recap.person_week(cells, spans, drives)
-    return recap.cards(recap.team_week(people, recap.tool_counts(cells, spans)), recap.marginals(cells), recap.podium(people), recap.personas(people))
+    cells, spans = cells.persist(), spans.persist()  # reduced facts, read by several branches
+    people, margins = recap.person_week(cells, spans, drives).persist(), recap.marginals(cells).persist()
+    return recap.cards(recap.team_week(people, recap.tool_counts(cells, spans)), margins, recap.podium(people), recap.personas(people))
 
 
 @registered(
