@@ -31,7 +31,7 @@ def quality_domain() -> Column:
 def measured(docs: DataFrame, text: str, words: str, shape: str, tokens: str) -> DataFrame:
     """docs with its lower-cased words, the number of its tokens, and shares that tell how its text is made."""
     body = F.coalesce(F.col(text), F.lit(""))
-    with_words = docs.withColumn(words, F.filter(F.split(F.lower(body), r"\s+"), lambda w: w != ""))
+    with_words = docs.withColumn(words, F.array_remove(F.split(F.lower(body), r"\s+"), ""))
     size = F.greatest(F.length(body), F.lit(1)).cast("double")
     n = F.size(words)
     few = F.greatest(n, F.lit(1)).cast("double")
@@ -143,24 +143,25 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float
     return pull.tolist()
 
 
-def mix(docs: DataFrame, membership: Membership, targets: dict[str, float] | None = None, total_tokens: float | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with n_tokens, posterior, rate and copies (how often the mixture takes the document: the rate, rounded by a hash of doc_id and text to the whole number above or below so that its expectation is the rate).
+def mix(docs: DataFrame, membership: Membership, targets: dict[str, float] | None = None, total_tokens: float | None = None, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with n_tokens, posterior, rate and copies (how often the mixture takes the document: the rate, rounded by a hash of doc_id and text to the whole number above or below so that its expectation is the rate).
 
-    Null and empty texts have no tokens and don't sway the fit. Rows with equal doc_ids and texts get equal values;
-    a null doc_id is hashed like any other value. No row is dropped here; columns of these names are replaced.
+    Texts are read once: what the fit and the result need is written to the shared folder. Null and empty texts have no
+    tokens and don't sway the fit. Rows with equal doc_ids and texts get equal values; a null doc_id is hashed
+    like any other value. No row is dropped here; columns of these names are replaced.
     """
     targets = targets or TARGETS
     if sorted(targets) != membership.domains:
         raise ValueError("targets and classifier differ in their domains")
-    docs = docs.drop("n_tokens", "posterior", "rate", "copies")
-    scored = with_posteriors(docs, membership, "posterior", "n_tokens", text)
-    scratch = Scratch(docs.sparkSession, "mixing")
-    table = scratch.table(scored.select(F.col("n_tokens").alias("t"), F.col("posterior").alias("p")), "scored")
-    pull = fit_rates(table, targets, total_tokens)
-    scratch.drop("scored")
-    rated = scored.withColumn("rate", rate(F.col("posterior"), pull))
+    made = ("n_tokens", "posterior", "rate", "copies")
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    own = free_name(docs, "draw")
     draw = F.pmod(F.xxhash64(F.lit("mix"), F.col(doc_id), F.col(text)), F.lit(1_000_000_007)) / 1_000_000_007.0
-    return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("long"))
+    scored = with_posteriors(docs.drop(*made).withColumn(own, draw), membership, "posterior", "n_tokens", text)
+    table = Scratch(docs.sparkSession, "mixing").table(scored.select(*kept, own, "n_tokens", "posterior"), "scored")
+    pull = fit_rates(table.select(F.col("n_tokens").alias("t"), F.col("posterior").alias("p")), targets, total_tokens)
+    rated = table.withColumn("rate", rate(F.col("posterior"), pull))
+    return rated.withColumn("copies", F.floor(F.col("rate") + F.col(own)).cast("long")).drop(own)
 
 
 def sampled(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -172,4 +173,4 @@ def sampled(mixed: DataFrame, columns: list[str]) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     membership = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mix(docs, membership).select("doc_id", "n_tokens", "posterior", "rate", "copies")
+    return mix(docs, membership, keep=["doc_id"]).select("doc_id", "n_tokens", "posterior", "rate", "copies")
