@@ -164,6 +164,31 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.where(check("sig_u", "sig_v", "set_u", "set_v")).select("u", "v")
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists, by products of 0/1 matrices over `width` elements at a time."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return out
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    parts = []
+    for sets in (left, right):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        flat = np.concatenate(sets)
+        at = np.searchsorted(shared, flat)
+        on = at < len(shared)
+        on[on] = shared[at[on]] == flat[on]
+        parts.append((row[on], at[on]))
+    for lo in range(0, len(shared), width):
+        dense = []
+        for (row, at), n in zip(parts, out.shape, strict=True):
+            on = (at >= lo) & (at < lo + width)
+            m = np.zeros((n, min(width, len(shared) - lo)), np.float32)
+            m[row[on], at[on] - lo] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
 def open_links(members: DataFrame, component: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (u, v) between components that share a bucket, all open pairs having been checked.
 
@@ -183,17 +208,20 @@ def open_links(members: DataFrame, component: DataFrame, sets: DataFrame, num: i
     dealt = sided.join(shape, "key").select("key", "id", "component", "out", "n_all", "n_out", F.xxhash64(F.lit("block"), "id").alias("h"))
     left = dealt.where("out").select("key", "id", "component", F.lit(True).alias("left"), F.pmod("h", "n_out").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_all").cast("bigint") - 1)).alias("j"))
     right = dealt.select("key", "id", "component", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_out").cast("bigint") - 1)).alias("i"), F.pmod("h", "n_all").alias("j"))
-    blocks = left.union(right).join(sets.select("id", "sig", "keys", "shingles"), "id")
-    least = least_agreement(num, den)
+    blocks = left.union(right).join(sets.select("id", "keys", "shingles"), "id")
     kind = sets.schema["id"].dataType
 
     def check(table: pa.Table) -> pa.Table:
         ids, comp = table["id"].to_pylist(), table["component"].to_pylist()
         flag = np.array(table["left"].to_pylist())
-        sig = np.stack([np.frombuffer(x, np.uint8) for x in table["sig"].to_pylist()])
+        xs, ys = np.flatnonzero(flag), np.flatnonzero(~flag)
         keys = np.stack([np.frombuffer(x, np.int64) for x in table["keys"].to_pylist()])
-        sets_ = [np.frombuffer(x, U64) for x in table["shingles"].to_pylist()]
-        band = table["key"][0].as_py() >> 56
+        members = [np.frombuffer(x, U64) for x in table["shingles"].to_pylist()]
+        size = np.array([len(s) for s in members])
+        both = intersections([members[x] for x in xs], [members[y] for y in ys])
+        found = den * both >= num * (size[xs][:, None] + size[ys] - both)
+        for band in range(table["key"][0].as_py() >> 56):  # pairs that share an earlier band are checked there
+            found &= keys[xs, band][:, None] != keys[ys, band]
         root: dict = {c: c for c in comp}
 
         def find(c):
@@ -202,16 +230,12 @@ def open_links(members: DataFrame, component: DataFrame, sets: DataFrame, num: i
             return c
 
         us, vs = [], []
-        right_rows = np.flatnonzero(~flag)
-        for x in np.flatnonzero(flag):
-            near = right_rows[(sig[right_rows] == sig[x]).sum(axis=1) >= least]
-            near = near[~(keys[near, :band] == keys[x, :band]).any(axis=1)]
-            for y in near:
-                a, b = find(comp[x]), find(comp[y])
-                if a != b and linked(sets_[x], sets_[y], num, den):
-                    root[max(a, b)] = min(a, b)
-                    us.append(ids[x])
-                    vs.append(ids[y])
+        for i, j in zip(*(k.tolist() for k in np.nonzero(found)), strict=True):
+            a, b = find(comp[xs[i]]), find(comp[ys[j]])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                us.append(ids[xs[i]])
+                vs.append(ids[ys[j]])
         return pa.table({"u": pa.array(us, table["id"].type), "v": pa.array(vs, table["id"].type)})
 
     return blocks.groupBy("key", "i", "j").applyInArrow(check, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
@@ -229,13 +253,13 @@ def duplicate_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     scratch = Scratch(spark, "near-dedup")
     all_rows = scratch.table(features(docs, doc_id, text, words, threshold), "features")
     usable = all_rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    first = usable.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    first = scratch.table(usable.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "first-of-set")
     stands = usable.join(first.select(F.col("digest"), F.col("first").alias("id")), ["digest", "id"], "left_semi")
     in_bands = stands.select("id", F.explode("keys").alias("key"))
     shared = in_bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where(F.col("_last") > F.col("pivot"))
     members = scratch.table(in_bands.join(shared.select("key", "pivot"), "key"), "members")
     active = members.select("id").distinct()
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(active, "id", "left_semi")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(active.hint("merge"), "id", "left_semi")
     sets = scratch.table(full_sets(texts, words, threshold), "sets")
     pairs = members.where(F.col("id") > F.col("pivot")).select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
     links = scratch.table(verified(pairs, sets, num, den), "links")
@@ -261,7 +285,7 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
     """The rows of docs whose document is kept; documents with one doc_id are kept or dropped together."""
     mark = free_name(docs, "dropped_id")
     gone = duplicate_classes(docs, text=text, doc_id=doc_id, **how).where(~F.col("kept")).select(F.col(doc_id).alias(mark)).distinct()
-    return docs.join(gone, docs[doc_id] == gone[mark], "left_anti")
+    return docs.join(gone.hint("merge"), docs[doc_id] == gone[mark], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
