@@ -37,11 +37,9 @@ def candidates(docs: DataFrame, path: Column | None = None, text: str = "text",
     return runs.where(F.col("candidate").rlike("[0-9]"))
 
 
-def common_words(docs: DataFrame, n: int = 1500, rows: int = 2000, text: str = "text") -> list[str]:
-    """A dictionary: the n most frequent words of 3 to 15 letters in a hash sample of about `rows` texts (this bound holds for the dictionary alone)."""
-    total = max(1, docs.count())
-    part = docs.where(F.pmod(F.xxhash64(F.lit("dictionary"), text), F.lit(1_000_003)) < int(1_000_003 * min(1.0, rows / total)) + 1)
-    words = part.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.substring(text, 1, 20_000)), F.lit(r"\p{L}{3,15}"), F.lit(0)))).alias("w"))
+def common_words(docs: DataFrame, n: int = 1500, text: str = "text") -> list[str]:
+    """A dictionary: of the words of 3 to 15 letters the n that most texts hold, counted over all whole texts; ties go to the smaller word."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\p{L})\p{L}{3,15}(?!\p{L})"), F.lit(0)))).alias("w"))
     return [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(n).collect()]
 
 
