@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from turnlake.llm import mixing, near_dedup, packing, secret_scan, toxicity
+from turnlake.llm.common import bounded_sample
 
 SF = "/root/testdata/sf0.001"
 
@@ -125,6 +126,27 @@ def test_secret_scan(spark):
     assert secret_scan.scan(df.limit(0)).count() == 0
 
 
+def test_dictionary_counts_all_whole_texts(spark):
+    rows = [("filler " * 5000 + f"latest word{'s' * (k % 2)} ab",) for k in range(40)] + [(None,), ("",), ("rare Latest, LATEST",)]
+    docs = spark.createDataFrame(rows, "text string")
+    assert secret_scan.common_words(docs, 3) == ["latest", "filler", "word"]
+    assert secret_scan.common_words(docs.limit(0)) == []
+
+
+def test_samples_stay_bounded_under_repeated_keys(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") < 10_000, 7).otherwise(F.col("id")).alias("doc_id"), (F.col("id") % 2).alias("label"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("least"))
+    for cls in range(2):
+        part = bounded_sample(df.where(F.col("label") == cls), "label", "doc_id", 15_000)  # every key is drawn
+        rows = part.collect()
+        assert part.columns == df.columns and len(rows) == len({r.doc_id for r in rows}) == 10_001
+        assert [r.least for r in rows if r.doc_id == 7] == [f"t{cls}"]
+    assert 800 < bounded_sample(df, "label", "doc_id", 1000).count() < 2800
+    docs = spark.range(2000).select((F.col("id") % 4).alias("doc_id"), F.concat(F.lit("some text "), (F.col("id") % 9).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(4)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.score(docs.limit(3), toxicity.learn(docs, labels)).count() == 3
+    assert mixing.mix(docs, mixing.learn(docs, labels)).count() == 2000
+
+
 def test_native_operators_have_no_python(spark):
     for build in (lambda: mixing.query(spark, SF), lambda: secret_scan.query(spark, SF)):
         plan = build()._jdf.queryExecution().executedPlan().toString()

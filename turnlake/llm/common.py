@@ -55,14 +55,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def bounded_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """About 1.2 * per_class rows of each non-null label value, chosen by a hash of key.
+    """At most about 1.2 * per_class rows of each non-null label value, chosen by a hash of key.
 
-    One aggregate counts the classes (partial sums on the map side), then a hash threshold per
-    class thins the rows, so that no class is gathered anywhere and the size doesn't follow the input.
+    One aggregate counts the classes (partial sums on the map side), then a hash threshold per class thins the rows, so
+    that no class is gathered anywhere. Of rows that share label and key the least one stays, since the hash takes
+    all of them or none: the size doesn't follow the input, however often a key is repeated.
     """
     counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
     if not counts:
         return df.where(F.lit(False))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * per_class / n))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_003)) / 1_000_003.0
-    return df.where(F.col(label).isNotNull() & (draw < F.try_element_at(share, F.col(label))))
+    picked = df.where(F.col(label).isNotNull() & (draw < F.try_element_at(share, F.col(label))))
+    others = [c for c in df.columns if c not in (label, key)]
+    if not others:
+        return picked.distinct()
+    least = free_name(df, "least")
+    return picked.groupBy(label, key).agg(F.min(F.struct(*others)).alias(least)).select(label, key, f"{least}.*").select(df.columns)

@@ -63,13 +63,13 @@ def assembled(df: DataFrame, words: str, shape: str, into: str) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, domain: Column | None = None, targets: dict[str, float] | None = None, per_domain: int = 1500, longest: int = 20_000, text: str = "text", doc_id: str = "doc_id") -> Membership:
     """Fit domain posteriors to about per_domain labelled documents of each domain, of at most `longest` characters.
 
-    These two bounds hold for fitting alone. Rows whose label names no target domain are ignored. With labelled documents
+    These two bounds hold for fitting alone; of rows that share a doc_id the least text is taken. Rows whose label names no target domain are ignored. With labelled documents
     of only one domain all posteriors are 1 for it; without any, they are equal for all domains.
     """
     domains = sorted(targets or TARGETS)
     named = labels.withColumn("_domain", quality_domain() if domain is None else domain).where(F.col("_domain").isin(domains))
     chosen = bounded_sample(named.groupBy(doc_id).agg(F.min("_domain").alias("_domain")), "_domain", doc_id, per_domain)
-    rows = docs.select(doc_id, text).where(F.length(text) <= longest).join(F.broadcast(chosen), doc_id)
+    rows = docs.select(doc_id, text).where(F.length(text) <= longest).join(F.broadcast(chosen), doc_id).groupBy(doc_id, "_domain").agg(F.min(text).alias(text))
     number = F.array_position(F.lit(domains), F.col("_domain")) - 1
     table = Scratch(docs.sparkSession, "mixing").table(rows.select(doc_id, text, number.cast("double").alias("label")), "labelled")
     present = [int(r.label) for r in table.select("label").distinct().collect()]

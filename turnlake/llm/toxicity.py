@@ -353,11 +353,12 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, passes: int = 3,
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 20_000, text: str = "text", label: str = "toxic", doc_id: str = "doc_id") -> Network:
     """A network fitted to at most per_class labelled documents of either label that aren't held out.
 
-    Training takes documents of at most `longest` characters; this and per_class bound what the driver holds.
+    Training takes documents of at most `longest` characters, and of rows that share a doc_id the least text; this and
+    per_class bound what the driver holds.
     """
     marks = labels.where(~held_out(doc_id) & F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.max(label).alias("y"))
     chosen = bounded_sample(marks, "y", doc_id, per_class)
-    rows = docs.select(F.col(doc_id), F.col(text).alias("t")).where(~held_out(doc_id) & (F.length("t") <= longest)).join(F.broadcast(chosen), doc_id).collect()
+    rows = docs.select(F.col(doc_id), F.col(text).alias("t")).where(~held_out(doc_id) & (F.length("t") <= longest)).join(F.broadcast(chosen), doc_id).groupBy(doc_id).agg(F.min("t").alias("t"), F.min("y").alias("y")).collect()
     texts: dict[int, list[str]] = {0: [], 1: []}
     for r in sorted(rows, key=lambda r: (r[doc_id], r.t)):
         if len(texts[r.y]) < per_class:
