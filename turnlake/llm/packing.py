@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnlake.llm.common import free_name
+from turnlake.llm.common import Scratch, free_name
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 64  # what a sequence costs besides its length, in tokens
@@ -69,10 +69,12 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, tokens: Column | N
     tokens counts a row's tokens (its words by default). A document longer than the longest length is cut into pieces of
     that length and a rest. Documents without tokens, null texts among them, get one row with null bin columns.
     Rows with equal doc_ids are packed each on their own; a null doc_id stays null. No token is dropped or
-    repeated. Only ids and counts are shuffled; the input's other columns play no part.
+    repeated. Texts are read once: ids and counts are written to the shared folder, and only they are shuffled; the
+    input's other columns play no part.
     """
     longest = max(lengths)
     counted = docs.select(F.col(doc_id).alias("id"), F.greatest((words() if tokens is None else tokens).cast("long"), F.lit(0)).alias("n"))
+    counted = Scratch(docs.sparkSession, "packing").table(counted, "counted")
     total = counted.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
     cut = counted.select("id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / longest) - 1, F.lit(0)))).alias("piece"))
