@@ -110,6 +110,22 @@ def test_mix_documents(spark):
         assert mixing.mix(df.limit(5), mixing.learn(df, few)).first().posterior[0] == first
 
 
+def test_scarce_domains_dont_shrink_the_mixture(spark):
+    draw = np.random.default_rng(4)
+    t = draw.integers(1, 400, 2000).astype(float)
+    soft = np.clip(0.02 * draw.random(2000) ** 4, 0, 1)
+    for low, expected in ((np.zeros(2000), [1.0, 0.0]), (np.where(np.arange(2000) % 100 == 0, 1.0, 0.0), [0.95, 0.05]), (np.where(np.arange(2000) % 100 == 0, 1 - soft, soft), [0.95, 0.05])):
+        p = np.stack([1 - low, low], axis=1)
+        df = spark.createDataFrame([(float(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], "t double, p array<double>")
+        rates = np.maximum(0, 1 - p @ np.array(mixing.fit_rates(df, mixing.TARGETS)))
+        assert np.allclose((t * rates) @ p / t.sum(), expected, atol=1e-4)
+        assert rates[low < 0.5].min() > 0.9 and (low.max() < 0.5 or rates[low > 0.5].min() > 3)
+    docs = spark.createDataFrame([(k, f"some words number {k}") for k in range(200)], "doc_id bigint, text string")
+    for quality in (0, 1):  # labels of one domain only: nothing can be balanced, so everything stays
+        one = spark.createDataFrame([(k, quality) for k in range(50)], "doc_id bigint, quality int")
+        assert {(r.rate, r.copies) for r in mixing.mix(docs, mixing.learn(docs, one)).collect()} == {(1.0, 1)}
+
+
 def test_secret_scan(spark):
     draw = random.Random(5)
     key = lambda n=40: "".join(draw.choice("0123456789abcdef") for _ in range(n))

@@ -103,7 +103,9 @@ def rate(posterior: Column, pull: list[float]) -> Column:
 def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float | None = None, rounds: int = 25, tolerance: float = 1e-6) -> list[float]:
     """Multipliers of the domains for rate(); scored has columns t (tokens) and p (posteriors).
 
-    The total defaults to the largest one at which no domain has to hold more than the corpus expects of it.
+    The total defaults to the corpus's own tokens, so that scarce domains are repeated (rates above 1) and don't shrink the
+    mixture. A domain without expected tokens can't be matched: by default the others share all tokens in the proportion of
+    their weights, and its goal stays in the least-squares residual.
     Each round makes one pass: the domains' totals at the current rates and the Gram matrix of documents with a positive
     rate. A step that doesn't lessen the residual is halved; what can't be matched ends in the least-squares residual.
     """
@@ -127,8 +129,8 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], total_tokens: float
     totals, gram = sums(pull)
     if not totals.sum():
         return pull.tolist()
-    wanted = weight > 0
-    total = float(total_tokens) if total_tokens is not None else float((totals[wanted] / weight[wanted]).min())
+    held = weight[totals > 0].sum()  # what can be matched
+    total = float(total_tokens) if total_tokens is not None else float(totals.sum() / (held or 1.0))
     goal, step = total * weight, 1.0
     best = np.linalg.norm(totals - goal)
     for _ in range(rounds):
