@@ -32,6 +32,17 @@ def test_redaction_rules(spark):
     assert totals["email"] == 1
 
 
+def test_no_match_passes_the_filter_by(spark):
+    number = "4111111111111111"
+    alone = {" ".join(number): "credit_card", "-".join(number): "credit_card", " ".join(number[k : k + 2] for k in range(0, 16, 2)): "credit_card", "-".join(number[k : k + 2] for k in range(0, 16, 2)): "credit_card"}
+    other = str.maketrans("0123456789", "".join(chr(0x0660 + k) for k in range(10)))
+    alone |= {"123-45-6789".translate(other): "us_ssn", "\u017fecret: abcdefghijkl": "assigned_secret", "to\u212aen = abcdefghijkl": "assigned_secret"}
+    df = spark.createDataFrame([(t,) for t in alone], "target_redacted string").withColumn("redacted_text", F.col("target_redacted"))
+    for r in redaction.redacted(df, "redacted_text", "counts").collect():
+        assert r.redacted_text == redaction.placeholder(alone[r.target_redacted]) and r.counts == {alone[r.target_redacted]: 1}, r.target_redacted
+    assert {r.redacted_text for r in redaction.gated_turns(df).collect()} == {r.target_redacted for r in redaction.gated_actions(df).collect()} == {redaction.placeholder(k) for k in alone.values()}
+
+
 def test_redact_spans(spark):
     spans = [("Ann Lee", "PERSON", 0.9), ("Ann", "PERSON", 0.8), ("Bo", "PERSON", 0.9), ("Paris", "PLACE", 0.2)]
     df = spark.createDataFrame([("Ann Lee met Ann and Bo in Paris", spans)], "text string, spans array<struct<text:string,class:string,prob:double>>")
