@@ -1,6 +1,7 @@
 """Secrets in text: candidate strings, and a random forest that removes false findings.
 
-Candidates are runs of key characters that hold a digit. The forest weighs their length, character classes and transitions,
+Candidates are runs of key characters that hold a digit, every value assigned to a name that secrets have, and every key in a
+provider's format, whatever these hold. The forest weighs their length, character classes and transitions,
 how much of them dictionary words cover, the path of the file and the words beside them. It is fitted to labelled findings;
 where a caller has none, findings in fixed provider formats or plain assignments stand for true ones and addresses and
 bare numbers for false ones. Everything is DataFrame functions and JVM-side transformers.
@@ -23,18 +24,54 @@ NAMES = "token|secret|passw|pwd|api_?key|apikey|access_?key|auth|bearer|credenti
 SAMPLE_PATHS = "test|example|sample|fixture|mock|doc|demo"
 # Formats of keys of public providers.
 PROVIDERS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35})$"
+KEY = r"(?<![A-Za-z0-9])(?:" + PROVIDERS[2:-2] + ")(?![A-Za-z0-9])"
+# A name that secrets have, up to the end of what belongs to it; an operator; both at the end of a word; both with a value in one word.
+NAME = rf"(?i)(?:{NAMES})(?:(?!{NAMES})[^\s=:])*+"
+OPERATOR = "(?:[=:]++>?+)"
+NAME_ENDS, ASSIGNS = NAME + "$", NAME + OPERATOR + "[\"'`]*$"
+WITHIN = NAME + OPERATOR + r"(?=(\S+))"
+SCHEME = r"(?i)^[\"'`]?(?:bearer|basic|token)$"  # stands between the name and the value in headers
 FEATURES = ["length", "digits", "lowers", "uppers", "others", "transitions", "distinct", "hex", "alternation", "coverage", "path_depth", "sample_path", "dots", "ats", "quoted", "assigned", "named", "before_length", "after_length"]
 
 
+def bare(value: Column) -> Column:
+    """A value without the quotes around it, or without separators behind it."""
+    quoted = F.regexp_extract(value, r"^([\"'`])(.+?)\1", 2)
+    return F.when(quoted != "", quoted).otherwise(F.regexp_replace(value, r"^[\"'`]+|[\"'`,;]+$", ""))
+
+
+def assigned_values(w: Column, i: Column) -> Column:
+    """The values that begin in word i of w and are assigned to a name of NAMES, in this word or in the two before it.
+
+    A quoted value goes on to its closing quote, over as many words as that takes.
+    """
+    at = lambda k: F.coalesce(F.get(w, i + k), F.lit(""))
+    word, none = F.get(w, i), F.array().cast("array<string>")
+    within = F.when(word.rlike("[=:]"), F.regexp_extract_all(word, F.lit(WITHIN), F.lit(1))).otherwise(none)
+    operator = lambda k: at(k).rlike(f"^{OPERATOR}[\"'`]*$")
+    direct = (at(-1).rlike("[=:]") & at(-1).rlike(ASSIGNS)) | (operator(-1) & at(-2).rlike(NAME_ENDS))
+    schemed = at(-1).rlike(SCHEME) & ((at(-2).rlike("[=:]") & at(-2).rlike(ASSIGNS)) | (operator(-2) & at(-3).rlike(NAME_ENDS)))
+    behind = word.rlike(f"^{OPERATOR}.") & at(-1).rlike(NAME_ENDS)
+    beside = F.when((direct | schemed) & ~operator(0), F.array(word)).when(behind, F.array(F.regexp_replace(word, f"^{OPERATOR}", ""))).otherwise(none)
+    values = F.concat(within, beside)
+    open_ = lambda v: v.rlike("^([\"'`])(?!.*\\1)")
+    rest = lambda v: F.concat_ws(" ", v, F.slice(w, i + 2, F.size(w)))
+    return F.filter(F.concat(F.transform(values, bare), F.transform(F.filter(values, open_), lambda v: F.regexp_extract(rest(v), r"^([\"'`])(.+?)\1", 2))), lambda v: v != "")
+
+
 def candidates(docs: DataFrame, path: Column | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each candidate: doc_id, word (its word's number in the text), part (its number in the word), candidate, the word around it, the two words before and the one after, and the path."""
+    """One row for each candidate: doc_id, word (its first word's number in the text), part (its number in the word: runs first, then other values and keys), candidate, the word around it, the two words before and the one after, and the path."""
     words = docs.select(F.col(doc_id).alias("doc_id"), (F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))).alias("path"), F.split(F.coalesce(F.col(text), F.lit("")), r"\s+").alias("w"))
     at = lambda i, k: F.coalesce(F.get("w", i + k), F.lit(""))
-    likely = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: (F.length(F.get("w", i)) >= LEAST_LENGTH) & F.get("w", i).rlike("[0-9]"))
-    beside = F.transform(likely, lambda i: F.struct(i.alias("word"), F.get("w", i).alias("around"), at(i, -2).alias("before2"), at(i, -1).alias("before"), at(i, 1).alias("after")))
+    near_operator = lambda i: F.get("w", i).rlike("[=:]") | at(i, -1).rlike("[=:]") | at(i, -2).rlike("[=:]")
+    likely = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: ((F.length(F.get("w", i)) >= LEAST_LENGTH) & F.get("w", i).rlike("[0-9]")) | near_operator(i) | F.get("w", i).rlike(KEY))
+    named = lambda i: F.when(near_operator(i), assigned_values(F.col("w"), i)).otherwise(F.array().cast("array<string>"))
+    beside = F.transform(likely, lambda i: F.struct(i.alias("word"), F.get("w", i).alias("around"), at(i, -2).alias("before2"), at(i, -1).alias("before"), at(i, 1).alias("after"), named(i).alias("values")))
     near = words.select("doc_id", "path", F.explode(beside).alias("x")).select("doc_id", "path", "x.*")
-    runs = near.select("*", F.posexplode(F.regexp_extract_all("around", F.lit(RUN), F.lit(0))).alias("part", "candidate"))
-    return runs.where(F.col("candidate").rlike("[0-9]"))
+    runs, sure = F.regexp_extract_all("around", F.lit(RUN), F.lit(0)), F.concat("values", F.regexp_extract_all("around", F.lit(KEY), F.lit(0)))
+    near = near.select("*", runs.alias("runs"), sure.alias("sure"))
+    found = near.select("*", F.posexplode(F.concat("runs", F.array_except("sure", "runs"))).alias("part", "candidate"))
+    return found.where(F.col("candidate").rlike("[0-9]") | F.array_contains("sure", F.col("candidate"))).drop("values", "runs", "sure")
 
 
 def common_words(docs: DataFrame, n: int = 1500, text: str = "text") -> list[str]:
