@@ -101,6 +101,23 @@ def test_recall(spark):
         assert all((-a[2], a[1]) < (-b[2], b[1]) for a, b in zip(found, found[1:], strict=False))
 
 
+def test_neighbours_beyond_the_first_list(spark):
+    draw = np.random.default_rng(7)
+    for n in (300, 1200, 3000):
+        x = draw.normal(size=(n, 24))
+        x[n // 2 : n // 2 + 40] = x[20]  # ties
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+        got = {}
+        for r in additive_ann.search(df, F.col("vec_id") % 20 == 0, k=20, reranked=20).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        expected = {}
+        for q in range(0, n, 20):
+            s = sum(x[:, d] * x[q, d] for d in range(24))
+            order = np.lexsort((np.arange(n), -s))
+            expected[q] = [int(i) for i in order if i != q][:20]
+        assert got == expected
+
+
 def test_search_edge_cases(spark):
     draw = np.random.default_rng(3)
     rows = [(i, draw.normal(size=4).tolist(), 1, 2) for i in range(60)]

@@ -1,8 +1,9 @@
 """Nearest neighbours by additive quantisation.
 
 A vector is coded as the sum of one codeword from each of several full-dimensional codebooks, fitted to residuals and chosen by
-beam search; the code and two norms are all that the search reads. A query turns the codebooks into lookup tables of
-inner products, scores every code by adding table entries, keeps the best, and those are scored again exactly.
+beam search; beside the code stand a scale and the norm of what the code leaves of the vector. A query turns the codebooks into
+lookup tables of inner products and scores every code by adding table entries. The score is off by at most the product of the
+query's norm and that remainder's; every vector that can reach the k-th exact score within this bound is scored exactly.
 """
 
 from __future__ import annotations
@@ -92,18 +93,21 @@ def doubles(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def coded(vectors: DataFrame, codebooks: np.ndarray) -> DataFrame:
-    """vec_id, codes (a byte for each book) and scale (norm of the vector over norm of its sum of codewords)."""
+    """vec_id, codes (a byte for each book), scale (norm of the vector over norm of its sum of codewords), left (norm of the vector less its scaled sum) and v."""
     shared = vectors.sparkSession.sparkContext.broadcast(codebooks)
-    schema = T.StructType([vectors.schema["vec_id"], T.StructField("codes", T.BinaryType()), T.StructField("scale", T.FloatType())])
+    double = T.DoubleType()
+    schema = T.StructType([vectors.schema["vec_id"], T.StructField("codes", T.BinaryType()), T.StructField("scale", double), T.StructField("left", double), T.StructField("v", T.ArrayType(double))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = doubles(batch.column(1))
                 codes = encode(x, shared.value)
-                norm = np.linalg.norm(decode(codes, shared.value), axis=1)
+                sums = decode(codes, shared.value)
+                norm = np.linalg.norm(sums, axis=1)
                 scale = np.linalg.norm(x, axis=1) / np.where(norm > 0, norm, 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(scale.astype(np.float32))], names=["vec_id", "codes", "scale"])
+                left = np.linalg.norm(x - scale[:, None] * sums, axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(scale), pa.array(left), batch.column(1)], names=["vec_id", "codes", "scale", "left", "v"])
 
     return vectors.select("vec_id", "v").mapInArrow(run, schema)
 
@@ -117,75 +121,93 @@ def best_rows(score: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -score[near]))[:n]]
 
 
-def candidates(queries: DataFrame, codes: DataFrame, codebooks: np.ndarray, n: int) -> DataFrame:
-    """query_id and the ids of its n best other vectors by table lookup.
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of x with y, added up from the first component on, so that equal vectors get equal ones."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * y[d]
+    return out
+
+
+def neighbours(queries: DataFrame, codes: DataFrame, codebooks: np.ndarray, k: int, first: int) -> DataFrame:
+    """query_id, and the ids and exact scores of the k other vectors of largest inner product.
 
     Queries go into blocks of bounded size, codes into packed blocks that are dealt to every query block; a task
-    runs through the codes of one query block after another and keeps only the best n for each query.
+    runs through the codes of one query block after another and keeps only the best k for each query. The `first` best
+    by table lookup are scored exactly before the bound is used; the bound leaves out none that belongs to the result.
     """
     spark = queries.sparkSession
-    shared = spark.sparkContext.broadcast(codebooks.astype(np.float32))
+    shared = spark.sparkContext.broadcast(codebooks)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     code_blocks = max(1, -(-codes.count() // CODE_BLOCK))
     pack = F.pmod(F.xxhash64(F.lit("codes"), "vec_id"), F.lit(code_blocks))
-    gathered = codes.groupBy(pack.alias("b")).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("codes").alias("codes"), F.collect_list("scale").alias("scales"))
-    everywhere = gathered.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"), F.lit(1).alias("turn"), "ids", "codes", "scales", F.lit(None).cast("array<array<double>>").alias("v"))
+    gathered = codes.groupBy(pack.alias("b")).agg(F.collect_list(F.struct("vec_id", "codes", "scale", "left", "v")).alias("x"))
+    packed = gathered.select(F.col("x.vec_id").alias("ids"), F.col("x.codes").alias("codes"), F.col("x.scale").alias("scales"), F.col("x.left").alias("left"), F.col("x.v").alias("v"))
+    everywhere = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"), F.lit(1).alias("turn"), "ids", "codes", "scales", "left", "v")
     block = F.pmod(F.xxhash64(F.lit("queries"), "vec_id"), F.lit(blocks)).cast("int")
-    asked = queries.groupBy(block.alias("q")).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("v"))
-    asked = asked.select("q", F.lit(0).alias("turn"), "ids", F.lit(None).cast("array<binary>").alias("codes"), F.lit(None).cast("array<float>").alias("scales"), "v")
+    asked = queries.groupBy(block.alias("q")).agg(F.collect_list(F.struct("vec_id", "v")).alias("x"))
+    numbers = F.lit(None).cast("array<double>")
+    asked = asked.select("q", F.lit(0).alias("turn"), F.col("x.vec_id").alias("ids"), F.lit(None).cast("array<binary>").alias("codes"), numbers.alias("scales"), numbers.alias("left"), F.col("x.v").alias("v"))
     both = asked.unionByName(everywhere).repartition(blocks, "q").sortWithinPartitions("q", "turn")
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("found", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("found", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = shared.value
-        own, tables, best = None, None, []
+        own, best = None, []
 
         def results() -> Iterator[pa.RecordBatch]:
             if own is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([b[1].tolist() for b in best], pa.list_(pa.int64()))], names=["query_id", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([b[1].tolist() for b in best], pa.list_(pa.int64())), pa.array([b[0].tolist() for b in best], pa.list_(pa.float64()))], names=["query_id", "found", "scores"])
 
         for batch in batches:
             for row in range(batch.num_rows):
+                one = lambda name: batch.column(name)[row].values  # noqa: B023, E731
                 if batch.column("turn")[row].as_py() == 0:
                     yield from results()
-                    own = np.array(batch.column("ids")[row].as_py(), np.int64)
-                    v = np.array(batch.column("v")[row].as_py(), np.float32)
-                    tables = np.einsum("qd,mkd->mkq", v, books)  # a column for each query
-                    best = [(np.zeros(0, np.float32), np.zeros(0, np.int64)) for _ in own]
+                    own = one("ids").to_numpy()
+                    v = one("v").flatten().to_numpy().reshape(len(own), -1)
+                    tables, norms = np.einsum("qd,mkd->mkq", v, books), np.linalg.norm(v, axis=1)  # a column for each query
+                    best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in own]
                     continue
                 if own is None:
                     continue  # a block without queries
-                ids = np.array(batch.column("ids")[row].as_py(), np.int64)
-                codes_ = np.frombuffer(b"".join(batch.column("codes")[row].as_py()), np.uint8).reshape(len(ids), -1)
-                scale = np.array(batch.column("scales")[row].as_py(), np.float32)
+                ids, scale, left = one("ids").to_numpy(), one("scales").to_numpy(), one("left").to_numpy()
+                codes_ = np.frombuffer(b"".join(one("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+                x = one("v").flatten().to_numpy().reshape(len(ids), -1)
+                slack = left + 1e-9 * np.linalg.norm(x, axis=1)  # the last part is for rounding
                 for lo in range(0, len(ids), 2048):
                     part = slice(lo, lo + 2048)
                     score = sum(tables[m][codes_[part, m]] for m in range(len(books))) * scale[part, None]
                     for i, query in enumerate(own):
-                        s, near = score[:, i], ids[part]
-                        if len(best[i][0]) == n:
-                            open_ = s >= best[i][0][-1]
-                            s, near = s[open_], near[open_]
-                        other = near != query
-                        s, near = np.concatenate([best[i][0], s[other]]), np.concatenate([best[i][1], near[other]])
-                        at = best_rows(s, near, n)
-                        best[i] = s[at], near[at]
+                        least, near = score[:, i] + slack[part] * norms[i], np.arange(lo, min(lo + 2048, len(ids)))
+                        near = near[ids[near] != query]
+                        if len(best[i][0]) < k:
+                            near = near[best_rows(score[near - lo, i], ids[near], first)]
+                            best[i] = kept(best[i], ids[near], products(x[near], v[i]), k)
+                            near = np.setdiff1d(np.arange(lo, min(lo + 2048, len(ids))), near)
+                            near = near[ids[near] != query]
+                        if len(best[i][0]) == k:
+                            near = near[least[near - lo] >= best[i][0][-1]]
+                        if len(near):
+                            best[i] = kept(best[i], ids[near], products(x[near], v[i]), k)
         yield from results()
 
     return both.mapInArrow(run, schema)
 
 
-def inner(a: str, b: str) -> Column:
-    """Inner product of two arrays of doubles, added up from the first component on."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def kept(best: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of those so far and new ones, as scores and ids."""
+    s, near = np.concatenate([best[0], scores]), np.concatenate([best[1], ids])
+    at = best_rows(s, near, k)
+    return s[at], near[at]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, reranked: int = 500, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k vectors of largest inner product with each query, other than itself.
 
     Every vector is indexed and every query of is_query (an expression over vec_id) is answered; the codebooks are fitted to
-    at most TRAINED_ON of them, chosen by a hash of their ids. Scores are exact; ties go to the smaller vec_id; fewer rows
-    come out where there are fewer candidates. Vectors that are null, empty, zero, of another dimension than most, or
+    at most TRAINED_ON of them, chosen by a hash of their ids. Scores and neighbours are exact at every size of the table; `reranked` is only how many
+    are scored before the error bound tells which others can matter. Ties go to the smaller vec_id; fewer rows come out where there are fewer candidates. Vectors that are null, empty, zero, of another dimension than most, or
     hold null or non-finite components take no part. Rows with equal vec_ids count once, with the least vector.
     """
     spark = vectors.sparkSession
@@ -200,13 +222,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, reranked: int = 50
     words = int(min(WORDS, max(1, len(sample) // 4)))
     codebooks = fit_codebooks(sample, words=words)
     codes = scratch.table(coded(base, codebooks), "codes")
-    queries = base.where(is_query)
-    found = candidates(queries, codes, codebooks, max(reranked, k)).select("query_id", F.explode("found").alias("vec_id"))
-    exact = found.join(base, "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("w")), "query_id")
-    scored = exact.select("query_id", "vec_id", inner("v", "w").alias("score"))
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("vec_id"), F.col("score").alias("score")))), 1, k)
-    ranked = scored.groupBy("query_id").agg(top.alias("t")).select("query_id", F.posexplode("t").alias("p", "x"))
-    return ranked.select(F.col("query_id").cast("long").alias("query_id"), (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").cast("long").alias("vec_id"), F.col("x.score").alias("score"))
+    found = neighbours(base.where(is_query), codes, codebooks, k, max(reranked, k))
+    ranked = found.select("query_id", F.posexplode(F.arrays_zip("found", "scores")).alias("p", "x"))
+    return ranked.select(F.col("query_id").cast("long").alias("query_id"), (F.col("p") + 1).cast("int").alias("rank"), F.col("x.found").cast("long").alias("vec_id"), F.col("x.scores").alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
