@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from turnlake.functions import classify as cl
 from turnlake.functions import redaction
 from turnlake.functions import taxonomy as tx
 from turnlake.operators import dedupe, labeling, recap, rollups
+from turnlake.plans import registry
 
 KEY = "device string, tool string, external_id string, "
 
@@ -43,6 +45,24 @@ def test_no_match_passes_the_filter_by(spark):
     assert {r.redacted_text for r in redaction.gated_turns(df).collect()} == {r.target_redacted for r in redaction.gated_actions(df).collect()} == {redaction.placeholder(k) for k in alone.values()}
 
 
+def test_token_rules_over_all_languages(spark, tmp_path):
+    plain = [(kind, re.compile(pattern)) for kind, pattern, ok in redaction.RULES if ok is None]
+    assert len(plain) == 9
+    secrets = ["AKIA" + "A" * 16, "ghp_" + "a" * 36, "github_pat_" + "b" * 22, "sk-" + "b" * 24, "xoxb-" + "1" * 12, "sk_live_" + "c" * 16, "AIza" + "d" * 35, "-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----", "Password = 'hunter2hunter2'", "ann@example.com"]
+    texts = [f"{a}{x}{b}" for x in secrets for a, b in (("voir ", " ici"), ("Schlüssel: ", "."), ("é", ""), ("", "ñ"), ("año-", "-ß"))] + ["", None, "rien à voir"]
+    rows = [(k, t, (None, "en", "fr", "de", "es")[k % 5]) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def redacted(t):
+        for kind, pattern in plain:
+            t = pattern.sub(redaction.placeholder(kind), t)
+        return t
+
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {r.doc_id: r.t for r in df.select("doc_id", registry.tokens_redacted(F.col("text")).alias("t")).collect()} == {k: None if t is None else redacted(t) for k, t, _ in rows}
+    assert {r.doc_id: r.n for r in registry.QUERIES["redact_tokens_whole"](spark, str(tmp_path)).collect()} == {k: None if t is None else len(redacted(t)) for k, t, _ in rows}
+
+
 def test_redact_spans(spark):
     spans = [("Ann Lee", "PERSON", 0.9), ("Ann", "PERSON", 0.8), ("Bo", "PERSON", 0.9), ("Paris", "PLACE", 0.2)]
     df = spark.createDataFrame([("Ann Lee met Ann and Bo in Paris", spans)], "text string, spans array<struct<text:string,class:string,prob:double>>")
