@@ -8,7 +8,7 @@ from turnlake.functions import classify as cl
 from turnlake.functions import redaction
 from turnlake.functions import taxonomy as tx
 from turnlake.operators import dedupe, labeling, recap, rollups
-from turnlake.plans import registry
+from turnlake.plans import bridge, registry
 
 KEY = "device string, tool string, external_id string, "
 
@@ -63,6 +63,21 @@ def test_token_rules_over_all_languages(spark, tmp_path):
     assert {r.doc_id: r.n for r in registry.QUERIES["redact_tokens_whole"](spark, str(tmp_path)).collect()} == {k: None if t is None else len(redacted(t)) for k, t, _ in rows}
 
 
+def test_whole_contexts(spark, monkeypatch):
+    texts = ["é" * 300, "x" * 391 + "€uro", " \u4e2d" * 140 + " ", "a" * 394 + "😀", " \n", "short", "y" * 394, "z" * 5000, "ü" * 197 + "b"]
+    roles = ["user", "assistant"]
+    rows = [("d", "t", "s", k, roles[k % 2], t, k) for k, t in enumerate(texts)]
+    monkeypatch.setattr(bridge, "turns", lambda spark, d: spark.createDataFrame(rows, KEY + "seq bigint, role string, redacted_text string, ts_ms bigint"))
+    first = lambda t, n: t.encode()[:n].decode(errors="ignore")
+    lines = [first(f"{roles[k % 2]}: {t.strip()}", 400) if t.strip() else None for k, t in enumerate(texts)]
+    got = {r.seq: (r.context, r.request) for r in registry.QUERIES["label_context_whole"](spark, "").collect()}
+    assert len(got) == len(texts)
+    for k, t in enumerate(texts):
+        context = [x for x in lines[max(0, k - 6) : k] if x is not None]
+        head = "EARLIER IN THIS CONVERSATION:\n" + "\n".join(f"- {x}" for x in context) + "\n\n" if context else ""
+        assert got[k] == (context, f"{head}LATEST REQUEST:\n{first(t, labeling.REQUEST_BYTES)}"), k
+
+
 def test_redact_spans(spark):
     spans = [("Ann Lee", "PERSON", 0.9), ("Ann", "PERSON", 0.8), ("Bo", "PERSON", 0.9), ("Paris", "PLACE", 0.2)]
     df = spark.createDataFrame([("Ann Lee met Ann and Bo in Paris", spans)], "text string, spans array<struct<text:string,class:string,prob:double>>")

@@ -164,6 +164,12 @@ def label_context(spark, d):
     return out.select("device", "tool", "external_id", "seq", F.array_join(short, "|").alias("context"))
 
 
+@registered("label_context_whole")
+def label_context_whole(spark, d):
+    """The contexts as a labeler gets them, of up to 400 bytes a line: without SQL, which can't cut at bytes."""
+    return labeling.with_context(bridge.turns(spark, d)).select("device", "tool", "external_id", "seq", "context", labeling.request_text().alias("request"))
+
+
 @registered("label_progress", f"SELECT user_turns, labeled, labeled * 100 // user_turns AS percent FROM (SELECT count(*) AS user_turns FROM turns WHERE role = 'user'), (SELECT count(*) AS labeled FROM turn_labels WHERE taxonomy_version = {tx.TAXONOMY_VERSION} AND prompt_version = {tx.PROMPT_VERSION})", "turns", "turn_labels")
 def label_progress(spark, d):
     return labeling.progress(bridge.turns(spark, d), bridge.labels(spark, d))
