@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnlake.llm import language_id, pii, toxicity
+from turnlake.llm.common import bounded_sample
 
 SF = "/root/testdata/sf0.01"
 
@@ -28,15 +29,40 @@ def lengths_by_search(text, known):
     return n
 
 
-def test_phrases_are_greedy_longest_matches():
+def test_phrases_are_greedy_longest_matches_of_whole_texts():
     draw = random.Random(2)
     known = {"a": ["".join(draw.choice("abc ") for _ in range(300))], "b": ["".join(draw.choice("bcd ") for _ in range(300))]}
     parser = language_id.CrossParser(known)
-    texts = ["".join(draw.choice("abcd ") for _ in range(draw.randrange(1, language_id.SEGMENT))) for _ in range(20)]
-    found = parser.phrases(texts)
-    for t, row in zip(texts, found, strict=True):
+    texts = ["".join(draw.choice("abcd ") for _ in range(draw.randrange(1, 1500))) for _ in range(60)]
+    texts += ["", "dddd", known["a"][0] * 40, "d" * 1000, "a" * 255 + "d", "abc" * 512]
+    for t, row in zip(texts, parser.phrases(texts), strict=True):
         for lang, n in zip(parser.langs, row, strict=True):
-            assert n <= lengths_by_search(t, known[lang][0]) <= n + 1, t  # the last phrase is open
+            assert n == lengths_by_search(t, known[lang][0]), t
+
+
+def test_letters_outside_the_alphabet_still_tell_languages_apart():
+    draw = random.Random(3)
+    script = lambda first, n: "".join(chr(first + draw.randrange(400)) for _ in range(n))
+    frequent = "abcdefghijklmnopqrstuvwxyzàâäçéèêëîïôöùûüßñáíóú" * 9
+    han, egyptian = [script(0x4E00, 256) for _ in range(40)], [script(0x13000, 256) for _ in range(40)]
+    parser = language_id.CrossParser({"fr": [frequent] * 9, "zh": han, "egy": egyptian})
+    texts = [frequent[5:90], "".join(han)[100:900], "".join(egyptian)[300:1200]]
+    assert parser.predict(texts)[0] == ["fr", "zh", "egy"]
+
+
+@pytest.mark.parametrize("copies", [1, 100, 5000])
+def test_sample_draws_keys_however_often_they_are_repeated(spark, copies):
+    keys = 200_000 // copies
+    rows = spark.range(keys * copies).select((F.col("id") % keys).alias("k"), F.lit("x").alias("label"), F.lit("t").alias("t"))
+    few = spark.range(60_000).select((F.col("id") % 3).alias("k"), F.lit("few").alias("label"), F.lit("t").alias("t"))
+    got = {r.label: r["count"] for r in bounded_sample(rows.union(few), "label", "k", 1500).groupBy("label").count().collect()}
+    assert got["few"] == 3 and (got["x"] == keys if keys < 1500 else 0.9 * 1.2 * 1500 < got["x"] < 1.3 * 1500)
+
+
+def test_four_repeated_ids_teach_their_languages(spark):
+    texts = [("hello the world and the rest of it", "en"), ("der die das und nicht der rest", "de")]
+    docs = spark.range(20_000).select((F.col("id") % 2 * 3 + 1).alias("doc_id"), F.element_at(F.array(*[F.lit(t) for t, _ in texts]), (F.col("id") % 2 + 1).cast("int")).alias("text"), F.element_at(F.array(F.lit("en"), F.lit("de")), (F.col("id") % 2 + 1).cast("int")).alias("lang"))
+    assert language_id.learn(docs).langs == ["de", "en"]
 
 
 def test_language_accuracy_and_split(spark):
@@ -97,6 +123,53 @@ def test_toxicity_learns_words_and_stems(spark):
     assert toxicity.score(df.limit(0), net).count() == 0
 
 
+def plain_forward(net, words):
+    """Score of one window, word by word."""
+    w, h_dim = net.weights, toxicity.HIDDEN
+    x = np.array([np.concatenate([w["word"][net.vocabulary.get(t, 0)], w["char"][toxicity.grams([t])[0]].mean(axis=0)]) for t in words], float)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    sides = []
+    for k, order in ((0, range(len(words))), (1, reversed(range(len(words))))):
+        h, states = np.zeros(h_dim), {}
+        for t in order:
+            i, g = x[t] @ w[f"x{k}"] + w[f"b{k}"], h @ w[f"u{k}"]
+            z, r = sig(i[:h_dim] + g[:h_dim]), sig(i[h_dim : 2 * h_dim] + g[h_dim : 2 * h_dim])
+            new = np.tanh(i[2 * h_dim :] + r * (g[2 * h_dim :] + w[f"bn{k}"]))
+            states[t] = h = z * h + (1 - z) * new
+        sides.append(states)
+    both = np.array([np.concatenate([sides[0][t], sides[1][t]]) for t in range(len(words))])
+    e = np.exp(np.tanh(both @ w["aw"] + w["ab"]) @ w["av"])
+    return sig((e / e.sum()) @ both @ w["o"] + w["ob"])
+
+
+def test_scores_equal_a_plain_forward_pass():
+    draw = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randrange(1, 120))) for _ in range(40)]
+    net = toxicity.train(texts, [int("w7" in t.split()) for t in texts], rounds=2)
+    for t, s in zip(texts, toxicity.Scorer(net).text_scores(texts), strict=True):
+        own = t.split()
+        assert s == pytest.approx(max(plain_forward(net, own[k : k + toxicity.WINDOW]) for k in toxicity.windows(len(own))), abs=1e-4)
+
+
+def test_whole_words_and_whole_texts_are_scored(monkeypatch):
+    word = "".join(random.Random(1).choice("abcdefgh") for _ in range(300))
+    spoiled = word[:150] + "zorgh" + word[150:]
+    assert set(toxicity.grams([word])[0].tolist()) != set(toxicity.grams([spoiled])[0].tolist())
+    table = np.random.default_rng(2).normal(size=(toxicity.BUCKETS, 5)).astype(np.float32)
+    for w in (word, "abc", "é" * 1000):
+        whole = toxicity.char_means(table, *toxicity.grams([w]))[0]
+        monkeypatch.setattr(toxicity, "LONG_WORD", 100)
+        assert np.allclose(toxicity.long_mean(table, w), whole, atol=1e-5) or len(w) < 5
+        monkeypatch.undo()
+    for n in (0, 1, 8, 9, 100, toxicity.BLOCK, toxicity.BLOCK + 8, toxicity.BLOCK + 9, 2 * toxicity.BLOCK + 8, 2 * toxicity.BLOCK + 50):
+        seen, at = [], 0
+        for block in toxicity.word_blocks("a " * n):
+            seen += [(at + k, min(toxicity.WINDOW, len(block) - k)) for k in toxicity.windows(len(block))]
+            at += toxicity.BLOCK
+        assert seen == [(k, min(toxicity.WINDOW, n - k)) for k in toxicity.windows(n)], n
+
+
 @pytest.mark.parametrize("labels", [[], [0, 0, 0], [1, 1, 1]])
 def test_toxicity_without_both_labels(labels):
     net = toxicity.train(["some text here"] * len(labels), labels)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where it is unset, local mode (tests) takes a folder of its own; a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="turnlake-"))
     return f"file://{_own_dir[0]}"
@@ -55,17 +58,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def bounded_sample(df: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """At most about 1.2 * per_class rows of each non-null label value, chosen by a hash of key.
+    """At most about 1.25 * per_class rows of each non-null label value, one for each key drawn by its hash.
 
-    One aggregate counts the classes (partial sums on the map side), then a hash threshold per class thins the rows, so
-    that no class is gathered anywhere. Of rows that share label and key the least one stays, since the hash takes
-    all of them or none: the size doesn't follow the input, however often a key is repeated.
+    One aggregate estimates the distinct keys of each class (sketches of fixed size, merged on the map side); a hash threshold
+    per class then thins the keys, so that no class is gathered anywhere. Of rows that share label and key the least one
+    stays. Neither the size nor the number of keys drawn follows how often a key is repeated, and a class of few
+    keys keeps all of them. A null key counts as one key.
     """
-    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    h = F.xxhash64(F.lit("sample"), F.col(key))
+    counts = {r[0]: r[1] for r in df.where(F.col(label).isNotNull()).groupBy(label).agg(F.approx_count_distinct(h, 0.02)).collect()}
     if not counts:
         return df.where(F.lit(False))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * per_class / n))])
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_003)) / 1_000_003.0
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * per_class / max(n, 1)))])
+    draw = F.pmod(h, F.lit(1_000_003)) / 1_000_003.0
     picked = df.where(F.col(label).isNotNull() & (draw < F.try_element_at(share, F.col(label))))
     others = [c for c in df.columns if c not in (label, key)]
     if not others:

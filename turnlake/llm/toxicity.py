@@ -8,63 +8,86 @@ document's highest window under the current network and gradient steps on the pi
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import bounded_sample, held_out
+from turnlake.llm.common import Scratch, bounded_sample, held_out
 
 WORD = re.compile(r"\w+")
 WINDOW, STRIDE = 32, 24
 WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 6, 6, 8, 8
 BUCKETS = 8192
-LONGEST = 48  # characters of one word that its n-grams are taken from, on either end
+LONG_WORD = 100_000  # characters of a word beyond which its n-grams are added up in pieces of this size
+BLOCK = STRIDE * 4000  # words of a text between the first words of two blocks of windows
 CACHED_TYPES = 120_000
 LANES = 4096
 
 
+def buckets_at(points: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hash buckets of the n-grams of this length that begin at these points; the same in every process."""
+    h = np.full(len(at), length, np.uint64)
+    for k in range(length):
+        h = (h ^ points[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h >> np.uint64(20)).astype(np.int32) % np.int32(BUCKETS)
+
+
+def code_points(words: list[str]) -> np.ndarray:
+    """The words' code points with the borders of each marked, and some zeros behind."""
+    points = np.frombuffer(("<" + "><".join(words) + ">" if words else "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([points, np.zeros(6, np.uint32)]).astype(np.uint64)
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash buckets of all words' 3-grams with the borders marked and of their 4- and 5-letter stems; how many each word has.
 
-    One pass over the joined words; the hash is the same in every process.
+    One pass over the joined words, whatever their lengths.
     """
-    short = [w if len(w) <= 2 * LONGEST else w[:LONGEST] + w[-LONGEST:] for w in words]
-    size = np.fromiter(map(len, short), np.int64, len(short))
-    points = np.frombuffer(("<" + "><".join(short) + ">" if short else "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    points = code_points(words)
     first = np.concatenate([[0], np.cumsum(size + 2)])[:-1].astype(np.int64)
-    points = np.concatenate([points, np.zeros(6, np.uint64)])
-
-    def bucket(at: np.ndarray, length: int, salt: int) -> np.ndarray:
-        h = np.full(len(at), salt, np.uint64)
-        for k in range(length):
-            h = (h ^ points[at + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        return (h >> np.uint64(20)).astype(np.int64) % BUCKETS
-
-    owner = np.repeat(np.arange(len(short)), size)
+    owner = np.repeat(np.arange(len(words)), size)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    parts, owners = [bucket(first[owner] + inside, 3, 3)], [owner]
+    parts, owners = [buckets_at(points, first[owner] + inside, 3)], [owner]
     for n in (4, 5):
         has = np.flatnonzero(size >= n)
-        parts.append(bucket(first[has] + 1, n, n))
+        parts.append(buckets_at(points, first[has] + 1, n))
         owners.append(has)
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(parts)[order], np.bincount(owner, minlength=len(short))
+    return np.concatenate(parts)[order], np.bincount(owner, minlength=len(words))
+
+
+def long_mean(table: np.ndarray, word: str) -> np.ndarray:
+    """The mean of the table's rows of one very long word's grams, added up piece by piece so that memory stays bounded."""
+    n = len(word)
+    sums = np.zeros(table.shape[1])
+    for lo in range(0, n, LONG_WORD):  # 3-grams begin at the points 0 .. n - 1 of "<word>"
+        points = code_points([word[max(0, lo - 1) : lo + LONG_WORD + 2]])
+        at = np.arange(min(LONG_WORD, n - lo)) + (lo > 0)
+        sums += table[buckets_at(points, at, 3)].sum(axis=0, dtype=np.float64)
+        if not lo:
+            sums += table[buckets_at(points, np.array([1]), 4)[0]].astype(np.float64) + table[buckets_at(points, np.array([1]), 5)[0]]
+    return (sums / (n + 2)).astype(np.float32)
 
 
 def char_means(table: np.ndarray, buckets: np.ndarray, per_word: np.ndarray) -> np.ndarray:
-    """Mean rows of the buckets of each word; every word has at least one."""
-    if not len(per_word):
-        return np.zeros((0, table.shape[1]), np.float32)
-    sums = np.add.reduceat(table[buckets], np.cumsum(per_word) - per_word, axis=0)
-    return sums / per_word[:, None].astype(np.float32)
+    """Mean rows of the buckets of each word; a word without any has a mean of zeros."""
+    out = np.zeros((len(per_word), table.shape[1]), np.float32)
+    has = per_word > 0
+    if has.any():
+        n = per_word[has]
+        out[has] = np.add.reduceat(table[buckets], np.cumsum(n) - n, axis=0) / n[:, None].astype(np.float32)
+    return out
 
 
 def windows(n: int) -> range:
@@ -85,15 +108,19 @@ class Network:
         """Input vectors of words, row by row; word 0 of the embedding stands for unknown words."""
         w = self.weights
         ids = np.fromiter((self.vocabulary.get(x, 0) for x in words), np.int64, len(words))
-        return np.concatenate([w["word"][ids], char_means(w["char"], *grams(words))], axis=1)
-
-    def scores(self, projected: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Scores of windows. projected: both directions' input gates of each known type; ids: windows x WINDOW."""
-        w, out = self.weights, np.empty(len(ids), np.float32)
+        long = [k for k, x in enumerate(words) if len(x) > LONG_WORD]
+        means = char_means(w["char"], *grams([x if len(x) <= LONG_WORD else "" for x in words] if long else words))
+        for k in long:
+            means[k] = long_mean(w["char"], words[k])
+        return np.concatenate([w["word"][ids], means], axis=1)
+
+    def scores(self, projected: np.ndarray, types: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Scores of windows. projected: both directions' input gates of each type; types: those of all words in a row, and WINDOW more; first: where each window begins."""
+        w, out = self.weights, np.empty(len(first), np.float32)
         order = np.argsort(-lengths, kind="stable")
-        for lo in range(0, len(ids), LANES):
+        for lo in range(0, len(first), LANES):
             at = order[lo : lo + LANES]
-            steps, size = np.ascontiguousarray(ids[at].T), lengths[at]
+            steps, size = types[first[at] + np.arange(WINDOW)[:, None]], lengths[at]
             n, longest = len(at), int(size.max(initial=0))
             full = bool((size == WINDOW).all())
             states = np.zeros((longest, n, 2 * HIDDEN), np.float32)
@@ -153,14 +180,13 @@ class Scorer:
             self.known.fresh = []
         return out
 
-    def window_scores(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Scores of all windows of each text."""
+    def window_scores(self, blocks: list[list[str]]) -> list[np.ndarray]:
+        """Scores of all windows of each list of words."""
         if len(self.known) > CACHED_TYPES:
             self.clear()
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
-        flat = self.ids([w for own in words for w in own])
+        flat = self.ids([w for own in blocks for w in own])
         starts, lengths, count, base = [], [], [], 0
-        for own in words:
+        for own in blocks:
             firsts = np.arange(windows(len(own)).start, windows(len(own)).stop, STRIDE)
             starts.append(firsts + base)
             lengths.append(np.minimum(WINDOW, len(own) - firsts))
@@ -169,20 +195,46 @@ class Scorer:
         flat = np.concatenate([flat, np.zeros(WINDOW, np.int64)])
         first = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         size = np.concatenate(lengths) if lengths else first
-        out = self.net.scores(self.table, flat[first[:, None] + np.arange(WINDOW)], size)
+        out = self.net.scores(self.table, flat, first, size)
         return np.split(out, np.cumsum(count)[:-1]) if count else []
 
     def text_scores(self, texts: list[str | None]) -> list[float]:
-        out: list[float] = []
-        batch: list[str | None] = []
+        """The largest window score of each text. Blocks of a text's words are scored together with those of others, bounded numbers of words at a time."""
+        out = np.full(len(texts), -1.0)
+        blocks: list[list[str]] = []
+        owners: list[int] = []
         size = 0
-        for t in texts:
-            batch.append(t)
-            size += len(t or "")
-            if size > 1_500_000:
-                out += [float(x.max()) for x in self.window_scores(batch)]
-                batch, size = [], 0
-        return out + [float(x.max()) for x in self.window_scores(batch)]
+
+        def flush() -> None:
+            for k, x in zip(owners, self.window_scores(blocks), strict=True):
+                out[k] = max(out[k], float(x.max()))
+            blocks.clear()
+            owners.clear()
+
+        for k, t in enumerate(texts):
+            for own in word_blocks(t or ""):
+                blocks.append(own)
+                owners.append(k)
+                size += len(own)
+                if size > 250_000:
+                    flush()
+                    size = 0
+        flush()
+        return out.tolist()
+
+
+def word_blocks(text: str) -> Iterator[list[str]]:
+    """A text's words in blocks whose windows, taken together, are those of the whole text."""
+    found, own = WORD.finditer(text.lower()), []
+    while True:
+        own += [m[0] for m in islice(found, BLOCK + WINDOW - STRIDE - len(own))]
+        yield own
+        if len(own) < BLOCK + WINDOW - STRIDE:
+            return
+        own = own[BLOCK:]
+        if (more := next(found, None)) is None:
+            return
+        own.append(more[0])
 
 
 def log_odds(seen: np.ndarray, totals: np.ndarray, prior: float = 20.0) -> np.ndarray:
@@ -260,17 +312,23 @@ def gradients(net: Network, x: np.ndarray, size: np.ndarray, y: np.ndarray) -> t
     return out, dx, loss
 
 
-def train(texts: list[str], labels: list[int], rounds: int = 4, passes: int = 3, batch: int = 128, rate: float = 0.01, seed: int = 7) -> Network:
+def train(texts: list[str], labels: list[int], rounds: int = 4, passes: int = 3, batch: int = 128, rate: float = 0.01, seed: int = 7, mislabelled: float = 0.0) -> Network:
     """Fit a network to texts and their 0/1 labels; without both labels, one that always gives the label seen, or 0.
 
-    Texts of label 1 without any window that the current round scores above a small bound are left out of it as mislabelled.
-
     The first component of each embedding starts as the log odds of label 1 given the word or n-gram, the rest at random.
+    mislabelled: the share of texts of label 1 that a round may leave out because no window of theirs speaks for the label.
     """
     draw, y = np.random.default_rng(seed), np.array(labels, np.float32)
-    words = [WORD.findall(t.lower()) for t in texts]
-    share = Counter(w for own in words for w in set(own))
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, n in share.items() if n >= 4))}
+    met = Numbering()
+    ids = [np.fromiter((met[m[0]] for m in WORD.finditer(t.lower())), np.int32) for t in texts]
+    types = sorted(met)
+    place = np.empty(len(types), np.int32)
+    place[[met[t] for t in types]] = np.arange(len(types))
+    ids = [place[own] for own in ids]
+    held = np.zeros(len(types), np.int64)
+    for own in ids:
+        held[np.unique(own)] += 1
+    vocabulary = {t: i + 1 for i, t in enumerate(t for t, n in zip(types, held.tolist(), strict=True) if n >= 4)}
     spread = lambda *shape: draw.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
     w = {"word": 0.05 * draw.normal(size=(len(vocabulary) + 1, WORD_DIM)).astype(np.float32), "char": 0.05 * draw.normal(size=(BUCKETS, CHAR_DIM)).astype(np.float32)}
     for k in (0, 1):
@@ -281,12 +339,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, passes: int = 3,
         w["o"][:] = 0
         w["ob"] = np.array(30.0 if len(y) and y[0] else -30.0, np.float32)
         return net
-    types = sorted(share)
-    number = {t: i for i, t in enumerate(types)}
     buckets, per_type = grams(types)
     gram_first = np.cumsum(per_type) - per_type
     word_row = np.array([vocabulary.get(t, 0) for t in types])
-    ids = [np.array([number[t] for t in own], np.int64) for own in words]
     totals = np.array([(y == 0).sum(), (y == 1).sum()], float)
     seen_types, seen_grams = np.zeros((2, len(types))), np.zeros((2, BUCKETS))
     for own, label in zip(ids, y.astype(int), strict=True):
@@ -304,7 +359,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, passes: int = 3,
 
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     firsts = [np.array(list(windows(len(own)))) for own in ids]
-    flat = np.concatenate([*ids, np.zeros(WINDOW, np.int64)])
+    flat = np.concatenate([*ids, np.zeros(WINDOW, np.int32)])
     base = np.cumsum([0, *map(len, ids)])
     at = np.concatenate([f + b for f, b in zip(firsts, base, strict=False)])
     sizes = np.concatenate([np.minimum(WINDOW, len(i) - f) for i, f in zip(ids, firsts, strict=True)])
@@ -312,12 +367,11 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, passes: int = 3,
     step = 0
     for turn in range(rounds):
         if turn:
-            value = net.scores(net.projection(vectors(np.arange(len(types)))), flat[at[:, None] + np.arange(WINDOW)], sizes)
+            value = net.scores(net.projection(vectors(np.arange(len(types)))), flat, at, sizes)
         else:
             value = np.array([evidence[flat[s : s + n]].max(initial=-9) for s, n in zip(at, sizes, strict=True)])
         each = np.split(value, cuts)
-        # a text of label 1 in which nothing speaks for the label is left out, but never more than a quarter of them
-        least = min(0.1 if turn else 0.6, float(np.quantile([v.max() for d, v in enumerate(each) if y[d]], 0.25)))
+        least = min(0.1 if turn else 0.6, float(np.quantile([v.max() for d, v in enumerate(each) if y[d]], mislabelled)))
         picked = []
         for d, v in enumerate(each):
             if len(ids[d]) and (not y[d] or v.max() >= least):
@@ -350,27 +404,35 @@ def train(texts: list[str], labels: list[int], rounds: int = 4, passes: int = 3,
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 20_000, text: str = "text", label: str = "toxic", doc_id: str = "doc_id") -> Network:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: int = 20_000, mislabelled: float = 0.0, text: str = "text", label: str = "toxic", doc_id: str = "doc_id") -> Network:
     """A network fitted to at most per_class labelled documents of either label that aren't held out.
 
     Training takes documents of at most `longest` characters, and of rows that share a doc_id the least text; this and
-    per_class bound what the driver holds.
+    per_class bound the sample. One task fits the network to it, so that the driver holds the weights only.
     """
     marks = labels.where(~held_out(doc_id) & F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.max(label).alias("y"))
     chosen = bounded_sample(marks, "y", doc_id, per_class)
-    rows = docs.select(F.col(doc_id), F.col(text).alias("t")).where(~held_out(doc_id) & (F.length("t") <= longest)).join(F.broadcast(chosen), doc_id).groupBy(doc_id).agg(F.min("t").alias("t"), F.min("y").alias("y")).collect()
-    texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in sorted(rows, key=lambda r: (r[doc_id], r.t)):
-        if len(texts[r.y]) < per_class:
-            texts[r.y].append(r.t)
-    return train(texts[0] + texts[1], [0] * len(texts[0]) + [1] * len(texts[1]))
+    usable = docs.select(F.col(doc_id), F.col(text).alias("t")).where(~held_out(doc_id) & (F.length("t") <= longest))
+    rows = usable.join(F.broadcast(chosen), doc_id).groupBy(doc_id).agg(F.min("t").alias("t"), F.min("y").cast("int").alias("y"))
+    rows = rows.select(F.col(doc_id).cast("string").alias("d"), "t", "y")
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("y", "ascending"), ("d", "ascending"), ("t", "ascending")])
+        y = np.array(table["y"].to_pylist())
+        used = np.concatenate([np.flatnonzero(y == k)[:per_class] for k in (0, 1)])
+        net = train(table["t"].take(pa.array(used)).to_pylist(), y[used].tolist(), mislabelled=mislabelled)
+        return pa.table({"net": pa.array([pickle.dumps(net)], pa.binary())})
+
+    fitted = Scratch(docs.sparkSession, "toxicity").table(rows.groupBy(F.lit(0)).applyInArrow(fit, "net binary"), "net").first()
+    return pickle.loads(fitted.net) if fitted else train([], [])
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", into: str = "score") -> DataFrame:
     """docs with a column `into`: 0 to 1, the largest score of all windows of the whole text.
 
-    Null and empty texts are one empty window, whose score is the network's bias. Equal texts get equal
-    scores; rows are neither dropped nor joined; a column of that name is replaced.
+    Null and empty texts, and texts without a word, are one empty window, whose score is the network's bias. Very long texts and
+    very long words are scored whole, block by block. Equal texts get equal scores (ties); repeated rows each get theirs; an
+    empty table gives an empty one; rows are neither dropped nor joined; a column named `into` is replaced, all others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
