@@ -3,7 +3,9 @@
 For each language, a suffix automaton of labelled text recognises every substring of that text. A text is
 parsed greedily into the longest phrases that the automaton knows; the cross-parsing entropy of the text is its
 number of phrases times log2(size of the labelled text), per character. The language that needs fewest such
-normalised phrases wins. All texts of a batch are parsed in step, as lanes of numpy arrays over flat transition tables.
+normalised phrases wins. All texts of a batch are parsed in step, as lanes of numpy arrays over flat transition tables:
+segments of long texts run side by side, and run again from the state in which the one before them ended until no state
+changes, so that the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import bounded_sample, held_out
+from turnlake.llm.common import bounded_sample, free_name, held_out
 
 UNDETERMINED = "und"
-ALPHABET = 64  # codes 0 pad, 1 separator, 2 rare letter, 3.. the most frequent letters
-SEGMENT = 256  # characters parsed by one lane; a phrase never crosses a segment border
+ALPHABET = 64  # codes 0 pad, 1 anything but letters, 2 .. 17 all other letters by a hash, 18.. the most frequent letters
+RARE = 16
+SEGMENT = 256  # characters parsed by one lane at a time
 LANES = 8192
+MOST_SLICES = 8192  # labelled slices of all languages together: bounds what is sent to the workers, however many languages there are
 
 
 class SuffixAutomaton:
@@ -64,24 +68,19 @@ def has_letter(text: str | None) -> bool:
 class CrossParser:
     """Automata of all languages as one transition table.
 
-    A cell holds the target's row offset; its lowest bit says that a phrase ended before this character.
+    A cell holds the target's row offset; its lowest bit says that a phrase ended before this character. A character that no
+    phrase can begin with ends the phrase that it follows, or is one of its own.
     """
 
     def __init__(self, texts: dict[str, list[str]]):
         self.langs = sorted(texts)
         letters = Counter(c for lang in self.langs for t in texts[lang] for c in t.lower() if c.isalpha())
-        keep = sorted(letters, key=lambda c: (-letters[c], c))[: ALPHABET - 3]
-        self.codes = np.full(0x10000, 2, np.uint8)
-        self.codes[:128] = 1
-        for c in range(128, 0x10000):
-            if not chr(c).isalpha():
-                self.codes[c] = 1
-        for c in range(128):
-            if chr(c).isalpha():
-                self.codes[c] = 2
+        keep = sorted(letters, key=lambda c: (-letters[c], c))[: ALPHABET - RARE - 2]
+        points = np.arange(0x110000)
+        is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+        self.codes = np.where(is_letter, 2 + points * 40503 % 65521 % RARE, 1).astype(np.uint8)
         for i, c in enumerate(keep):
-            if ord(c) < 0x10000:
-                self.codes[ord(c)] = i + 3
+            self.codes[ord(c)] = i + RARE + 2
         tables, self.roots, self.sizes, base = [], [], [], 0
         for lang in self.langs:
             automaton, size = SuffixAutomaton(), 0
@@ -96,19 +95,20 @@ class CrossParser:
                 for c, to in go.items():
                     table[s, c] = to * ALPHABET
             table[0] = at_root + (at_root == 0)
-            table[:, 0] = 0
+            table[:, 0] = np.arange(len(table)) * ALPHABET  # behind its end a text stays in its state
             tables.append((table + base).astype(np.int32).ravel())
             self.roots.append(base)
             self.sizes.append(size)
             base += table.size
+        if base >= 1 << 31:
+            raise ValueError("too much labelled text for one table")
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def encode(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.codes[np.minimum(points, 0xFFFF)]
+        return self.codes[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases of each text (row) by each language (column), whole texts, in segments."""
+        """Phrases of each whole text (row) by each language (column), an open one at the end included."""
         coded = [self.encode(t) for t in texts]
         lanes = np.array([max(1, -(-len(c) // SEGMENT)) for c in coded])
         owner = np.repeat(np.arange(len(texts)), lanes)
@@ -117,27 +117,34 @@ class CrossParser:
         for c, n in zip(coded, lanes, strict=True):
             flat[at : at + n].reshape(-1)[: len(c)] = c
             at += n
-        total = np.zeros((len(self.langs), len(owner)), np.int32)
         roots = np.array(self.roots, np.int32)[:, None]
-        for lo in range(0, len(owner), LANES):
-            steps = np.ascontiguousarray(flat[lo : lo + LANES].T)
-            state = np.repeat(roots, steps.shape[1], axis=1)
-            count = total[:, lo : lo + LANES]
-            for c in steps:
-                go = self.table.take(state + c)
-                end = go & 1
-                count += end
-                state = go - end
+        start = np.repeat(roots, len(owner), axis=1)
+        end, total = np.zeros_like(start), np.zeros_like(start)
+        follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # lanes that go on with the text of the one before
+        todo = np.arange(len(owner))
+        while len(todo):
+            for lo in range(0, len(todo), LANES):
+                lane = todo[lo : lo + LANES]
+                state, count = start[:, lane], np.zeros((len(roots), len(lane)), np.int32)
+                for c in np.ascontiguousarray(flat[lane].T):
+                    go = self.table.take(state + c)
+                    ended = go & 1
+                    count += ended
+                    state = go - ended
+                end[:, lane], total[:, lane] = state, count
+            todo = follows[(start[:, follows] != end[:, follows - 1]).any(axis=0)]
+            start[:, todo] = end[:, todo - 1]
         out = np.zeros((len(texts), len(self.langs)), np.int64)
+        last = np.cumsum(lanes) - 1
         for k in range(len(self.langs)):
-            out[:, k] = np.bincount(owner, total[k], len(texts)).astype(np.int64)
+            out[:, k] = np.bincount(owner, total[k], len(texts)).astype(np.int64) + (end[k, last] != self.roots[k])
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score (its share of the inverse normalised phrase counts) of texts that have letters."""
         if not self.langs:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        cost = (self.phrases(texts) + 1.0) * np.array([math.log2(max(2, n)) for n in self.sizes])
+        cost = np.maximum(self.phrases(texts), 1) * np.array([math.log2(max(2, n)) for n in self.sizes])
         best = cost.argmin(axis=1)  # ties: the language that sorts first
         weight = 1.0 / cost
         return [self.langs[k] for k in best], (weight[np.arange(len(texts)), best] / weight.sum(axis=1)).tolist()
@@ -146,13 +153,18 @@ class CrossParser:
 def learn(docs: DataFrame, samples: int = 160, sample_chars: int = 256, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> CrossParser:
     """Automata of at most `samples` slices of `sample_chars` characters for each language of the rows that aren't held out.
 
-    This bound on the labelled text is the only one: prediction covers all rows and whole texts.
+    Slices are of texts drawn by a hash of doc_id; languages beyond MOST_SLICES / samples share that number evenly. These
+    bounds on the labelled text are the only ones: prediction covers all rows and whole texts. Rows with a null or empty
+    text or language teach nothing; of rows that share a doc_id the least text is taken; a table without labels gives a
+    parser without languages.
     """
-    usable = docs.select(doc_id, text, lang).where(~held_out(doc_id) & F.col(lang).isNotNull())
+    usable = docs.select(doc_id, text, lang).where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     start = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - sample_chars, F.lit(1))).cast("int") + 1
-    slices = bounded_sample(usable, lang, doc_id, samples).where(F.col(text).rlike(r"\p{L}")).select(F.col(doc_id).alias("d"), F.col(lang).alias("g"), F.substring(F.col(text), start, F.lit(sample_chars)).alias("t"))
+    slices = bounded_sample(usable, lang, doc_id, samples).select(F.col(doc_id).alias("d"), F.col(lang).alias("g"), F.substring(F.col(text), start, F.lit(sample_chars)).alias("t"))
+    rows = sorted(slices.collect(), key=lambda r: (r.g, r.d is not None, r.d, r.t))
+    samples = max(1, min(samples, MOST_SLICES // max(1, len({r.g for r in rows}))))
     texts: dict[str, list[str]] = {}
-    for r in sorted(slices.collect(), key=lambda r: (r.g, -1 if r.d is None else r.d, r.t)):
+    for r in rows:
         if len(own := texts.setdefault(r.g, [])) < samples:
             own.append(r.t)
     return CrossParser(texts)
@@ -161,8 +173,9 @@ def learn(docs: DataFrame, samples: int = 160, sample_chars: int = 256, text: st
 def identify(docs: DataFrame, parser: CrossParser, text: str = "text") -> DataFrame:
     """docs with lang_pred and score.
 
-    Null text, empty text and text without a letter give `und` and 0.0; so does a parser that learned no language.
-    Equal texts get equal values; rows are neither dropped nor joined; a column named lang_pred or score is replaced.
+    Null text, empty text and text without a letter give `und` and 0.0; so does a parser that learned no language. Very long
+    texts are parsed whole. Ties go to the language that sorts first. Equal texts get equal values; repeated rows each get
+    theirs; an empty table gives an empty one. Columns named lang_pred and score are replaced, all others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
@@ -190,8 +203,8 @@ def identify(docs: DataFrame, parser: CrossParser, text: str = "text") -> DataFr
                 flush()
             yield pd.DataFrame({"lang_pred": pred, "score": score})
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, run(F.col(text)).alias("_p")).select(*kept, "_p.lang_pred", "_p.score")
+    kept, found = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")], free_name(docs, "found")
+    return docs.select(*kept, run(F.col(text)).alias(found)).select(*kept, f"{found}.lang_pred", f"{found}.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
