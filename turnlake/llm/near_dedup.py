@@ -147,21 +147,25 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those (u, v) of pairs whose full sets are linked, the signatures having been compared first."""
+    """Those (u, v) of pairs whose full sets are linked.
+
+    Signatures are compared first, but not of pairs that are `only` ones of their bucket: no later step looks at these again,
+    while open_links() checks every pair of a larger bucket that is left open here.
+    """
     least = least_agreement(num, den)
 
     @F.pandas_udf(T.BooleanType())
-    def check(sig_u: pd.Series, sig_v: pd.Series, set_u: pd.Series, set_v: pd.Series) -> pd.Series:
+    def check(only: pd.Series, sig_u: pd.Series, sig_v: pd.Series, set_u: pd.Series, set_v: pd.Series) -> pd.Series:
         out = np.zeros(len(sig_u), bool)
         if len(out):
             agree = (np.frombuffer(b"".join(sig_u), np.uint8) == np.frombuffer(b"".join(sig_v), np.uint8)).reshape(-1, MINIMA).sum(axis=1)
-            for i in np.flatnonzero(agree >= least):
+            for i in np.flatnonzero((agree >= least) | only.to_numpy()):
                 out[i] = linked(np.frombuffer(set_u.iat[i], U64), np.frombuffer(set_v.iat[i], U64), num, den)
         return pd.Series(out)
 
     side = lambda x: sets.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("shingles").alias(f"set_{x}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    return both.where(check("sig_u", "sig_v", "set_u", "set_v")).select("u", "v")
+    both = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v")
+    return both.where(check("only", "sig_u", "sig_v", "set_u", "set_v")).select("u", "v")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -256,12 +260,12 @@ def duplicate_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     first = scratch.table(usable.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "first-of-set")
     stands = usable.join(first.select(F.col("digest"), F.col("first").alias("id")), ["digest", "id"], "left_semi")
     in_bands = stands.select("id", F.explode("keys").alias("key"))
-    shared = in_bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where(F.col("_last") > F.col("pivot"))
-    members = scratch.table(in_bands.join(shared.select("key", "pivot"), "key"), "members")
+    shared = in_bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last"), F.count("*").alias("rows")).where(F.col("_last") > F.col("pivot"))
+    members = scratch.table(in_bands.join(shared.select("key", "pivot", (F.col("rows") == 2).alias("only")).hint("merge"), "key"), "members")
     active = members.select("id").distinct()
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(active.hint("merge"), "id", "left_semi")
     sets = scratch.table(full_sets(texts, words, threshold), "sets")
-    pairs = members.where(F.col("id") > F.col("pivot")).select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct()
+    pairs = members.where(F.col("id") > F.col("pivot")).select(F.col("id").alias("u"), F.col("pivot").alias("v"), "only").groupBy("u", "v").agg(F.bool_or("only").alias("only"))
     links = scratch.table(verified(pairs, sets, num, den), "links")
     component = scratch.table(connected_components(links, scratch, "first"), "component")
     more = scratch.table(open_links(members, component, sets, num, den), "more")
