@@ -414,7 +414,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: in
     chosen = bounded_sample(marks, "y", doc_id, per_class)
     usable = docs.select(F.col(doc_id), F.col(text).alias("t")).where(~held_out(doc_id) & (F.length("t") <= longest))
     rows = usable.join(F.broadcast(chosen), doc_id).groupBy(doc_id).agg(F.min("t").alias("t"), F.min("y").cast("int").alias("y"))
-    rows = rows.select(F.col(doc_id).cast("string").alias("d"), "t", "y")
+    rows = rows.select(F.col(doc_id).cast("string").alias("d"), "t", "y", F.lit(0).alias("all"))
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("y", "ascending"), ("d", "ascending"), ("t", "ascending")])
@@ -423,7 +423,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, longest: in
         net = train(table["t"].take(pa.array(used)).to_pylist(), y[used].tolist(), mislabelled=mislabelled)
         return pa.table({"net": pa.array([pickle.dumps(net)], pa.binary())})
 
-    fitted = Scratch(docs.sparkSession, "toxicity").table(rows.groupBy(F.lit(0)).applyInArrow(fit, "net binary"), "net").first()
+    fitted = Scratch(docs.sparkSession, "toxicity").table(rows.groupBy("all").applyInArrow(fit, "net binary"), "net").first()
     return pickle.loads(fitted.net) if fitted else train([], [])
 
 
