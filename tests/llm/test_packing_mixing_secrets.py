@@ -25,7 +25,6 @@ def check_packing(sizes, lengths):
         assert all(o == sum(n for _, n in parts[:k]) for k, (o, _) in enumerate(parts))
         total = sum(n for _, n in parts)
         assert bins[b] == min(c for c in lengths if c >= total)
-    return sum(bins)
 
 
 def test_best_fit():
@@ -35,11 +34,61 @@ def test_best_fit():
         sizes = [draw.randrange(1, max(lengths) + 1) for _ in range(draw.randrange(0, 60))]
         check_packing(sizes, lengths)
     sizes = [draw.randrange(1, 3000) for _ in range(4000)]
-    assert check_packing(sizes, packing.LENGTHS) < 1.03 * sum(sizes)
+    assert cost_of(sizes, packing.LENGTHS) < 1.5 * sum(sizes)
     assert packing.best_fit([6, 4, 5, 5], (10,))[1] == [10, 10]
     assert packing.best_fit([3], (4, 8, 16))[1] == [4]
 
 
+def cost_of(sizes, lengths):
+    check_packing(sizes, lengths)
+    return sum(map(packing.sequence_cost, packing.best_fit(sizes, lengths)[1]))
+
+
+def least_cost(sizes, lengths):
+    """The least cost of all ways to part the sizes among bins."""
+    if not sizes:
+        return 0
+    first, rest = sizes[0], sizes[1:]
+    best = None
+    for mask in range(1 << len(rest)):
+        total = first + sum(n for k, n in enumerate(rest) if mask >> k & 1)
+        if total <= max(lengths):
+            cost = packing.sequence_cost(min(c for c in lengths if c >= total)) + least_cost([n for k, n in enumerate(rest) if not mask >> k & 1], lengths)
+            best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_joint_choice_against_the_optimum():
+    draw, over = random.Random(5), []
+    for _ in range(60):
+        sizes = [draw.choice([draw.randrange(1, 600), draw.randrange(1, 8193)]) for _ in range(draw.randrange(1, 8))]
+        over.append(cost_of(sizes, packing.LENGTHS) / least_cost(sizes, packing.LENGTHS))
+    assert min(over) >= 1 - 1e-9 and max(over) < 1.2 and np.mean(over) < 1.02
+    assert cost_of([500, 500, 24], (512, 1024, 8192)) == pytest.approx(packing.sequence_cost(1024))
+    assert cost_of([700, 300] * 50, packing.LENGTHS) == pytest.approx(50 * packing.sequence_cost(1024))
+
+
+@pytest.mark.parametrize(
+    ("mix", "most"),
+    [([(1, 500), (3900, 4200)], 0.96), ([(350, 700)], 0.96), ([(600, 1100)], 0.97), ([(1, 500)], 1), ([(100, 1900)], 1), ([(1, 8192)], 1), ([(900, 901), (2100, 2101), (4200, 4201)], 1)],
+)
+def test_joint_choice_is_cheaper_than_every_single_length(mix, most):
+    """In the last four mixes one length fits nearly all: small pieces fill its bins without waste."""
+    draw = random.Random(7)
+    sizes = [draw.randrange(*draw.choice(mix)) for _ in range(3000)]
+    joint = cost_of(sizes, packing.LENGTHS)
+    single = min(cost_of(sizes, (c,)) for c in packing.LENGTHS if c >= max(sizes))
+    assert joint <= most * single
+
+
+def test_repeated_rows_are_spread_over_shards(spark):
+    rows = spark.range(30_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b c").alias("text"))
+    rows = rows.union(spark.createDataFrame([(7, "x"), (7, None)], "doc_id bigint, text string"))
+    got = packing.pack(rows, shard_tokens=9000).groupBy((F.col("bin_id") / (1 << 32)).cast("long").alias("shard")).agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens")).collect()
+    assert sum(r.rows for r in got) == 30_002 and sum(r.tokens for r in got) == 90_001
+    assert max(r.tokens for r in got if r.shard is not None) < 12_000
+
+
 def test_pack_documents(spark):
     rows = [(1, "a " * 20_000, "x"), (2, None, "x"), (3, "", "x"), (None, "b c", "x"), (5, "d", "x"), (5, "d", "x")] + [(k, "w " * (k % 90 + 1), "x") for k in range(10, 400)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, bin_id string")
