@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlake.llm.common import free_name
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -48,10 +51,11 @@ WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 DIGIT_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[ ])?(?:{WORDS})(?:[ ,.-]{{1,2}}(?:{WORDS}|[0-9]|dot|point))*[ ,.-]{{1,2}}(?:{WORDS})(?!\w)")
 DIGIT_TOKEN = re.compile(rf"(?i)plus[ ]|{WORDS}|dot|point|[0-9]|[ ,.-]+")
 AT, DOT = r"(?:at|arobase|arroba|klammeraffe)", r"(?:dot|point|punkt|punto)"
-BRACKETED = re.compile(rf"(?i)\s*[(\[{{<]\s*(?:({AT}|@)|({DOT}|\.))\s*[)\]}}>]\s*")
-SPOKEN = re.compile(rf"(?i)(?<![\w@])[A-Za-z0-9._%+-]+(?:[ ]{DOT}[ ][A-Za-z0-9_%+-]+)*[ ]*(?:[ ]{AT}[ ]|@)[ ]*[A-Za-z0-9-]+(?:(?:[ ]{DOT}[ ]|\.)[A-Za-z0-9-]+)*[ ]{DOT}[ ][A-Za-z]{{2,10}}(?!\w)")
-SPOKEN_TOKEN = re.compile(rf"(?i)[ ]*(?:[ ]({AT})[ ]|(@)[ ]*|[ ]({DOT})[ ])")
-SPOKEN_HINT = re.compile(rf"(?i)[ ]{DOT}[ ]")
+BRACKETED = re.compile(rf"(?i)[(\[{{<]\s*(?:({AT}|@)|({DOT}|\.))\s*[)\]}}>]\s*")
+AT_SIGN = re.compile(rf"(?i)[ ]{AT}(?=[ ])|@")
+SPOKEN_DOT = re.compile(rf"(?i)[ ]{DOT}[ ]")
+SPOKEN_DOMAIN = re.compile(rf"(?i)[ ]*[A-Za-z0-9-]++(?:(?:[ ]{DOT}[ ]|\.)[A-Za-z0-9-]++)*[ ]{DOT}[ ][A-Za-z]{{2,10}}(?!\w)")
+DOT_BEFORE = re.compile(rf"(?i)[ ]{DOT}[ ]$")
 
 
 def luhn(digits: str) -> bool:
@@ -105,24 +109,27 @@ def detect(text: str) -> dict[str, list[Span]]:
     }
 
 
+Change = tuple[int, int, list[tuple[str, int, int]]]  # a range, and the characters in its place, each with the range that it stands for
+
+
 class Tape:
     """A rewritten text and, for each of its characters, the source span that it stands for."""
 
     def __init__(self, text: str):
         self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
 
-    def rewrite(self, pattern: re.Pattern, output: Callable[[re.Match], list[tuple[str, int, int]]]) -> None:
-        """Replace each match by output's characters, each with the matched range that it stands for."""
+    def rewrite(self, changes: Iterable[Change]) -> None:
+        """Put characters in the place of ranges, which come in order and don't overlap."""
         parts, starts, ends, done = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            parts.append(self.text[done : m.start()])
-            starts += self.starts[done : m.start()]
-            ends += self.ends[done : m.start()]
-            for c, lo, hi in output(m):
+        for first, last, characters in changes:
+            parts.append(self.text[done:first])
+            starts += self.starts[done:first]
+            ends += self.ends[done:first]
+            for c, lo, hi in characters:
                 parts.append(c)
                 starts.append(self.starts[lo])
                 ends.append(self.ends[hi - 1])
-            done = m.end()
+            done = last
         if done:
             self.text = "".join(parts) + self.text[done:]
             self.starts, self.ends = starts + self.starts[done:], ends + self.ends[done:]
@@ -131,60 +138,97 @@ class Tape:
         return self.starts[span[0]], self.ends[span[1] - 1]
 
 
-def plain_letter(m: re.Match) -> list[tuple[str, int, int]]:
-    c = m[0].translate(TABLE)
-    return [] if m[0] in INVISIBLE else [(c, *m.span())]
-
-
-def spelled_digits(m: re.Match) -> list[tuple[str, int, int]]:
-    out = []
-    for t in DIGIT_TOKEN.finditer(m.string, m.start(), m.end()):
-        word = t[0].lower()
-        if word in DIGIT_WORDS or word.isdigit():
-            out.append((DIGIT_WORDS.get(word, word), *t.span()))
-        elif word == "plus ":
-            out.append(("+", *t.span()))
-        elif word in ("dot", "point"):
-            out.append((".", *t.span()))
-    return out
-
-
-def bracketed(m: re.Match) -> list[tuple[str, int, int]]:
-    return [("@" if m[1] else ".", *m.span())]
-
-
-def spoken(m: re.Match) -> list[tuple[str, int, int]]:
-    out, done = [], m.start()
-    for t in SPOKEN_TOKEN.finditer(m.string, m.start(), m.end()):
-        out += [(m.string[i], i, i + 1) for i in range(done, t.start())]
-        out.append(("." if t[3] else "@", *t.span()))
-        done = t.end()
-    return out + [(m.string[i], i, i + 1) for i in range(done, m.end())]
+# Transducers: each reads a text once and yields its changes; the work of each is in proportion to the text.
+
+
+def plain_letters(text: str) -> Iterator[Change]:
+    """Homoglyphs become the characters that they look like; invisible characters go."""
+    for m in LOOKALIKE.finditer(text):
+        yield *m.span(), [] if m[0] in INVISIBLE else [(m[0].translate(TABLE), *m.span())]
+
+
+def spelled_digits(text: str) -> Iterator[Change]:
+    """Runs of digit words become digits."""
+    for m in DIGIT_RUN.finditer(text):
+        out = []
+        for t in DIGIT_TOKEN.finditer(text, m.start(), m.end()):
+            word = t[0].lower()
+            if word in DIGIT_WORDS or word.isdigit():
+                out.append((DIGIT_WORDS.get(word, word), *t.span()))
+            elif word == "plus ":
+                out.append(("+", *t.span()))
+            elif word in ("dot", "point"):
+                out.append((".", *t.span()))
+        yield *m.span(), out
+
+
+def bracketed(text: str) -> Iterator[Change]:
+    """An at or dot in brackets, with the white space around it, becomes the sign."""
+    done = 0
+    for m in BRACKETED.finditer(text):
+        first = m.start()
+        while first > done and text[first - 1].isspace():
+            first -= 1
+        done = m.end()
+        yield first, done, [("@" if m[1] else ".", first, done)]
+
+
+def spoken_address(text: str) -> Iterator[Change]:
+    """Addresses whose dots, and maybe whose at, are spelled: from each at the domain is read forward and the local part backward."""
+    done = 0  # no part of an address lies before the end of the last one, or of the last at
+    for at in AT_SIGN.finditer(text):
+        spelled = text[at.start()] == " "
+        after = at.end() + spelled
+        if at.start() < done:
+            continue
+        free, done = done, at.end()
+        if not (domain := SPOKEN_DOMAIN.match(text, after)):
+            continue
+        start = at.start()
+        while start > free and text[start - 1] == " ":
+            start -= 1
+        signs = [(start, domain.end() - len(domain[0].lstrip(" ")), "@")]
+        end = start
+        while start > free and LOCAL.match(text, start - 1):
+            start -= 1
+        if start == end:
+            continue
+        while (m := DOT_BEFORE.search(text, max(free, start - 7), start)) and m.start() > free and LOCAL.match(text, m.start() - 1):
+            signs.append((*m.span(), "."))
+            start = m.start()
+            while start > free and LOCAL.match(text, start - 1):
+                start -= 1
+        if start and (text[start - 1].isalnum() or text[start - 1] in "_@"):
+            continue
+        signs += [(*m.span(), ".") for m in SPOKEN_DOT.finditer(text, domain.start(), domain.end())]
+        done, at_ = domain.end(), start
+        out = []
+        for lo, hi, sign in sorted(signs):
+            out += [(text[i], i, i + 1) for i in range(at_, lo)]
+            out.append((sign, lo, hi))
+            at_ = hi
+        yield start, done, out + [(text[i], i, i + 1) for i in range(at_, done)]
+
+
+#: In this order; a transducer runs only where its hint is found.
+TRANSDUCERS = ((LOOKALIKE, plain_letters), (DIGIT_RUN, spelled_digits), (BRACKETED, bracketed), (SPOKEN_DOT, spoken_address))
 
 
 def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Spans that only the rewritten text shows: those that no plain span of their kind contains."""
-    steps = []
-    if not text.isascii() and LOOKALIKE.search(text):
-        steps.append((LOOKALIKE, plain_letter))
-    tape = Tape(text) if steps else None
-    for pattern, output in steps:
-        tape.rewrite(pattern, output)
-    now = tape.text if tape else text
-    for pattern, output, hint in ((DIGIT_RUN, spelled_digits, DIGIT_RUN), (BRACKETED, bracketed, BRACKETED), (SPOKEN, spoken, SPOKEN_HINT)):
+    tape = None
+    for hint, transducer in TRANSDUCERS:
+        now = tape.text if tape else text
         if hint.search(now):
             tape = tape or Tape(text)
-            tape.rewrite(pattern, output)
-            now = tape.text
-    if tape is None or now == text:
+            tape.rewrite(transducer(now))
+    if tape is None or tape.text == text:
         return {k: [] for k in KINDS}
     out = {}
-    for kind, spans in detect(now).items():
-        own, taken = [], plain[kind]
-        for s, e in map(tape.source, spans):
-            if not any(a <= s and e <= b for a, b in taken):
-                own.append((s, e))
-        out[kind] = own
+    for kind, spans in detect(tape.text).items():
+        firsts = [s for s, _ in plain[kind]]
+        known = lambda s, e: (k := bisect_right(firsts, s)) and e <= plain[kind][k - 1][1]  # noqa: B023, E731
+        out[kind] = [(s, e) for s, e in map(tape.source, spans) if not known(s, e)]
     return out
 
 
@@ -196,7 +240,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone (plain spans), base_sha256, spans (plain and disguised) and n_disguised.
 
     Offsets are code points of the source, end exclusive. A null text counts as empty: no spans, the hash of the empty
-    string. Equal texts get equal values; rows are neither dropped nor joined; columns of these names are replaced.
+    string. Very long texts are read whole, in time proportional to their length. Equal texts get equal values (ties);
+    repeated rows each get theirs; an empty table gives an empty one. Columns of these names, in any case, are replaced,
+    all others stay; rows are neither dropped nor joined.
     """
     fields = "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_disguised bigint"
 
@@ -213,8 +259,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in fields.split(", ")])
 
     names = [f.split()[0] for f in fields.split(", ")]
-    kept = [c for c in docs.columns if c not in names]
-    return docs.select(*kept, run(F.col(text)).alias("_pii")).select(*kept, *(f"_pii.{n}" for n in names))
+    kept, found = [c for c in docs.columns if c.lower() not in names], free_name(docs, "found")
+    return docs.select(*kept, run(F.col(text)).alias(found)).select(*kept, *(f"{found}.{n}" for n in names))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
