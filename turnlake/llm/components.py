@@ -1,33 +1,44 @@
 """Connected components by alternating large-star and small-star over an edge table.
 
-Joins are merge joins at every size, so that nothing is broadcast that grows with the edges; a hub's rows, which meet one row
-of the other side, are split over tasks by adaptive execution.
+The least neighbour of each node comes from an aggregate with partial sums. It meets the node's edges again by a merge join at
+every size; hubs, which hold more than one in HUB_PART of the edges and of which there can only be a bounded number, are broadcast
+instead, so that no key of that join is hot.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.llm.common import Scratch
 
+HUB_PART, HUB_LEAST = 500, 64  # at most 2 * HUB_PART nodes have more than 1 / HUB_PART of the edges at one of their two ends
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def with_least(near: DataFrame, least: Column, n_edges: int) -> tuple[DataFrame, DataFrame]:
+    """near with m, an aggregate over the edges of each u, in the column `m`; and u and m alone."""
+    found = near.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    hub = F.col("n") > max(HUB_LEAST, n_edges // HUB_PART)
+    hubs = F.broadcast(found.where(hub).select("u", "m"))
+    rest = near.join(hubs.select("u"), "u", "left_anti").join(found.where(~hub).select("u", "m").hint("merge"), "u")
+    return near.join(hubs, "u").union(rest), found.select("u", "m")
+
+
+def large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Every node links its larger neighbours to the least of its neighbours and itself."""
-    near = both_ways(edges)
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return near.where(F.col("v") > F.col("u")).join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    near, _ = with_least(both_ways(edges), F.least(F.min("v"), F.first("u")), n_edges)
+    return near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Every node links itself and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least.hint("merge"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    near, least = with_least(down, F.min("v"), n_edges)
+    moved = near.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -43,7 +54,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     while (state := mark(now)) != seen:
         seen, round_ = state, round_ + 1
-        now = scratch.table(small_star(large_star(now)), f"{name}-{round_}")
+        now = scratch.table(small_star(large_star(now, state[0]), state[0]), f"{name}-{round_}")
         scratch.drop(f"{name}-{round_ - 1}")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
