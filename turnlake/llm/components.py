@@ -23,9 +23,11 @@ def with_least(near: DataFrame, least: Column, n_edges: int) -> tuple[DataFrame,
     """near with m, an aggregate over the edges of each u, in the column `m`; and u and m alone."""
     found = near.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
     hub = F.col("n") > max(HUB_LEAST, n_edges // HUB_PART)
-    hubs = F.broadcast(found.where(hub).select("u", "m"))
-    rest = near.join(hubs.select("u"), "u", "left_anti").join(found.where(~hub).select("u", "m").hint("merge"), "u")
-    return near.join(hubs, "u").union(rest), found.select("u", "m")
+    hubs = F.broadcast(found.where(hub).select("u", F.col("m").alias("of_hub")))
+    # edges of hubs find their m here; in the join below they match nothing and are dealt by their other end
+    dealt = near.join(hubs, "u", "left").withColumn("deal", F.when(F.col("of_hub").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("v").bitwiseOR(F.lit(1))))
+    rest = found.where(~hub).select("u", F.lit(0).cast("long").alias("deal"), "m")
+    return dealt.join(rest.hint("merge"), ["u", "deal"], "left").select("u", "v", F.coalesce("of_hub", "m").alias("m")), found.select("u", "m")
 
 
 def large_star(edges: DataFrame, n_edges: int) -> DataFrame:
