@@ -1,27 +1,28 @@
 """Secrets in text: candidate strings, and a random forest that removes false findings.
 
-Candidates are runs of key characters that hold a digit, every value assigned to a name that secrets have, and every key in a
-provider's format, whatever these hold. The forest weighs their length, character classes and transitions,
-how much of them dictionary words cover, the path of the file and the words beside them. It is fitted to labelled findings;
-where a caller has none, findings in fixed provider formats or plain assignments stand for true ones and addresses and
-bare numbers for false ones. Everything is DataFrame functions and JVM-side transformers.
+Candidates are runs of key characters that hold a digit or mixed case, every value assigned to a name that secrets have, every key in
+a provider's format and every private-key block. The forest weighs their length, character classes and transitions, how much of
+them dictionary words cover, the path of the file and the words beside them; it knows neither the names nor the formats that
+made a candidate, so it can learn that a value is none although its name or format says so. It is fitted to labelled
+findings; where a caller has none, provider formats and assignments stand for true ones and addresses and bare numbers for
+false ones. Everything is DataFrame functions and JVM-side transformers.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlake.llm.common import Scratch, bounded_sample, free_name
+from turnlake.llm.common import Scratch, bounded_sample, held_out
 
 LEAST_LENGTH = 10
 RUN = r"[A-Za-z0-9_+/=.@~-]{10,}"
-# Names that secrets are assigned to, and parts of paths of files that hold samples.
+MIXED = r"^[^=]*[a-z][A-Z][^=]*[a-z][A-Z][^=]*=*$"  # in runs of 16 or more characters without a digit
+# Names that secrets are assigned to.
 NAMES = "token|secret|passw|pwd|api_?key|apikey|access_?key|auth|bearer|credential|private_?key|client_?key"
-SAMPLE_PATHS = "test|example|sample|fixture|mock|doc|demo"
 # Formats of keys of public providers.
 PROVIDERS = r"^(AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abpr]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35})$"
 KEY = r"(?<![A-Za-z0-9])(?:" + PROVIDERS[2:-2] + ")(?![A-Za-z0-9])"
@@ -31,7 +32,9 @@ OPERATOR = "(?:[=:]++>?+)"
 NAME_ENDS, ASSIGNS = NAME + "$", NAME + OPERATOR + "[\"'`]*$"
 WITHIN = NAME + OPERATOR + r"(?=(\S+))"
 SCHEME = r"(?i)^[\"'`]?(?:bearer|basic|token)$"  # stands between the name and the value in headers
-FEATURES = ["length", "digits", "lowers", "uppers", "others", "transitions", "distinct", "hex", "alternation", "coverage", "path_depth", "sample_path", "dots", "ats", "quoted", "assigned", "named", "before_length", "after_length"]
+BEGINS, KEY_BLOCK = "-----BEGIN$", r"(?s)^-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*-----END$"
+FEATURES = ["length", "digits", "lowers", "uppers", "others", "up", "down", "to_digit", "from_digit", "distinct", "alternation", "coverage", "path_depth", "before_length", "after_length"]
+CONTEXT_BUCKETS = 128  # for words beside the candidate and parts of its path
 
 
 def bare(value: Column) -> Column:
@@ -59,19 +62,30 @@ def assigned_values(w: Column, i: Column) -> Column:
     return F.filter(F.concat(F.transform(values, bare), F.transform(F.filter(values, open_), lambda v: F.regexp_extract(rest(v), r"^([\"'`])(.+?)\1", 2))), lambda v: v != "")
 
 
+def key_block(w: Column, i: Column) -> Column:
+    """The private-key block that begins in word i of w, up to the next end mark, its words joined by spaces; else no value."""
+    rest = F.slice(w, i + 1, F.size(w))
+    size = F.array_position(rest, "-----END").cast("int")
+    block = F.when(size > 0, F.array_join(F.slice(rest, F.lit(1), F.greatest(size, F.lit(1))), " "))
+    return F.when(block.rlike(KEY_BLOCK), F.array(block)).otherwise(F.array().cast("array<string>"))
+
+
 def candidates(docs: DataFrame, path: Column | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row for each candidate: doc_id, word (its first word's number in the text), part (its number in the word: runs first, then other values and keys), candidate, the word around it, the two words before and the one after, and the path."""
+    """One row for each candidate: doc_id, word (its first word's number in the text), part (its number in the word: runs first, then other values, keys and blocks), candidate, the word around it, the two words before and the one after, and the path."""
     words = docs.select(F.col(doc_id).alias("doc_id"), (F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))).alias("path"), F.split(F.coalesce(F.col(text), F.lit("")), r"\s+").alias("w"))
+    none = F.array().cast("array<string>")
     at = lambda i, k: F.coalesce(F.get("w", i + k), F.lit(""))
     near_operator = lambda i: F.get("w", i).rlike("[=:]") | at(i, -1).rlike("[=:]") | at(i, -2).rlike("[=:]")
-    likely = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: ((F.length(F.get("w", i)) >= LEAST_LENGTH) & F.get("w", i).rlike("[0-9]")) | near_operator(i) | F.get("w", i).rlike(KEY))
-    named = lambda i: F.when(near_operator(i), assigned_values(F.col("w"), i)).otherwise(F.array().cast("array<string>"))
-    beside = F.transform(likely, lambda i: F.struct(i.alias("word"), F.get("w", i).alias("around"), at(i, -2).alias("before2"), at(i, -1).alias("before"), at(i, 1).alias("after"), named(i).alias("values")))
+    run = lambda x: ((F.length(x) >= LEAST_LENGTH) & x.rlike("[0-9]")) | ((F.length(x) >= 16) & x.rlike(MIXED))
+    likely = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: run(F.get("w", i)) | near_operator(i) | F.get("w", i).rlike(KEY) | F.get("w", i).rlike(BEGINS))
+    named = lambda i: F.when(near_operator(i), assigned_values(F.col("w"), i)).otherwise(none)
+    block = lambda i: F.when(F.get("w", i).rlike(BEGINS), key_block(F.col("w"), i)).otherwise(none)
+    beside = F.transform(likely, lambda i: F.struct(i.alias("word"), F.get("w", i).alias("around"), at(i, -2).alias("before2"), at(i, -1).alias("before"), at(i, 1).alias("after"), F.concat(named(i), block(i)).alias("values")))
     near = words.select("doc_id", "path", F.explode(beside).alias("x")).select("doc_id", "path", "x.*")
     runs, sure = F.regexp_extract_all("around", F.lit(RUN), F.lit(0)), F.concat("values", F.regexp_extract_all("around", F.lit(KEY), F.lit(0)))
     near = near.select("*", runs.alias("runs"), sure.alias("sure"))
     found = near.select("*", F.posexplode(F.concat("runs", F.array_except("sure", "runs"))).alias("part", "candidate"))
-    return found.where(F.col("candidate").rlike("[0-9]") | F.array_contains("sure", F.col("candidate"))).drop("values", "runs", "sure")
+    return found.where(run(F.col("candidate")) | F.array_contains("sure", F.col("candidate"))).drop("values", "runs", "sure")
 
 
 def common_words(docs: DataFrame, n: int = 1500, text: str = "text") -> list[str]:
@@ -81,35 +95,44 @@ def common_words(docs: DataFrame, n: int = 1500, text: str = "text") -> list[str
 
 
 def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
-    """found with one column for each of FEATURES."""
+    """found with `made`, the numbers of FEATURES, and `context`, the lower-cased words beside the candidate and the parts of its path.
+
+    Coverage is the share of letters that words of the dictionary of four or more letters cover, the longest first.
+    """
     c, around = F.col("candidate"), F.col("around")
     n = F.length(c).cast("double")
     share = lambda pattern: F.regexp_count(c, F.lit(pattern)) / n
-    runs = F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0))
-    covered = F.aggregate(F.array_intersect(runs, F.lit(dictionary) if dictionary else F.array().cast("array<string>")), F.lit(0), lambda s, w: s + F.length(w))
-    before = F.lower(F.concat_ws(" ", "before2", "before", F.substring_index(around, "=", 1)))
+    known = "|".join(sorted((w for w in dictionary if len(w) >= 4), key=lambda w: (-len(w), w)))
+    left = F.length(F.regexp_replace(F.lower(c), known, "")) if known else n
+    name = F.when(around.rlike("[=:]"), F.regexp_extract(around, "^[^=:]*", 0)).otherwise("")
+    before = F.concat_ws(" ", "before2", "before", name)
     made = {
         "length": n,
         "digits": share("[0-9]"),
         "lowers": share("[a-z]"),
         "uppers": share("[A-Z]"),
         "others": share("[^A-Za-z0-9]"),
-        "transitions": share("(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]"),
+        "up": share("(?<=[a-z])[A-Z]"),
+        "down": share("(?<=[A-Z])[a-z]"),
+        "to_digit": share("(?<=[A-Za-z])[0-9]"),
+        "from_digit": share("(?<=[0-9])[A-Za-z]"),
         "distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
-        "hex": c.rlike("^[0-9a-f]+$|^[0-9A-F]+$").cast("double"),
         "alternation": share("(?i)[aeiou](?=[b-df-hj-np-tv-z])"),
-        "coverage": covered / n,
-        "path_depth": F.regexp_count("path", F.lit("/")).cast("double"),
-        "sample_path": F.lower("path").rlike(SAMPLE_PATHS).cast("double"),
-        "dots": share(r"\."),
-        "ats": share("@"),
-        "quoted": around.rlike("[\"'`]").cast("double"),
-        "assigned": (F.col("before").rlike("[=:]$") | around.rlike("^[A-Za-z_.-]+[=:]")).cast("double"),
-        "named": before.rlike(NAMES).cast("double"),
-        "before_length": F.length("before").cast("double"),
-        "after_length": F.length("after").cast("double"),
+        "coverage": (n - left) / n,
+        "path_depth": F.regexp_count("path", F.lit("/")),
+        "before_length": F.length("before"),
+        "after_length": F.length("after"),
     }
-    return found.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in made.items()})
+    words = lambda text, mark: F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), ""), lambda w: F.concat(F.lit(mark), w))
+    context = F.concat(words(before, "before "), words(F.col("after"), "after "), words(F.col("path"), "path "))
+    return found.withColumns({"made": F.array(*[F.coalesce(made[k].cast("double"), F.lit(0.0)) for k in FEATURES]), "context": F.coalesce(context, F.array().cast("array<string>"))})
+
+
+def vectors(df: DataFrame) -> DataFrame:
+    """df with `features`: made and the hashed context."""
+    hashed = HashingTF(inputCol="context", outputCol="hashed", numFeatures=CONTEXT_BUCKETS, binary=True).transform(df)
+    wide = hashed.withColumns({k: F.col("made")[i] for i, k in enumerate(FEATURES)})
+    return VectorAssembler(inputCols=[*FEATURES, "hashed"], outputCol="features").transform(wide).drop("hashed", *FEATURES)
 
 
 def presumed(found: DataFrame) -> Column:
@@ -123,27 +146,29 @@ def presumed(found: DataFrame) -> Column:
 def scan(docs: DataFrame, findings: DataFrame | None = None, path: Column | None = None, per_label: int = 3000, threshold: float = 0.5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Candidates of whole texts with score (0 to 1) and secret (score >= threshold).
 
-    Columns: doc_id, word, part, candidate, score, secret. findings holds labelled ones: the columns of candidates() and
-    label (1.0 or 0.0); by default the candidates that presumed() can label. The forest is fitted to about per_label of
-    each label; this bound holds for fitting alone. With findings of one label only, or none, every candidate gets that
-    label's score, or 0.5. Null and empty texts have no candidates; equal rows each give their own.
+    Columns: doc_id, word, part, candidate, score, secret; other columns of docs, whatever their names, play no part. findings
+    holds labelled ones: the columns of candidates() and label (1.0 or 0.0, else ignored); by default the candidates of
+    documents that aren't held out which presumed() can label. The forest is fitted to about per_label different ones of each
+    label; this bound holds for fitting alone. With findings of one label only, or none, every candidate gets that label's
+    score, or 0.5. Null and empty texts have no candidates, and an empty table gives no rows; very long texts are scanned
+    whole; a null path counts as empty. Equal candidates beside equal words get equal scores (ties); equal rows each give
+    their own.
     """
     scratch = Scratch(docs.sparkSession, "secret-scan")
     found = scratch.table(candidates(docs, path, text, doc_id), "candidates")
     dictionary = common_words(docs.select(F.col(text).alias("text")))
-    known = findings if findings is not None else found.withColumn("label", presumed(found)).where(F.col("label").isNotNull())
-    own = free_name(known, "key")
-    known = known.withColumn(own, F.concat_ws("\u0001", "candidate", "before", "after"))
-    sample = bounded_sample(known, "label", own, per_label)
-    training = scratch.table(with_features(sample, dictionary).select(*FEATURES, "label", own).orderBy(own, *FEATURES).coalesce(1), "training")
+    known = findings if findings is not None else found.where(~held_out()).withColumn("label", presumed(found))
+    known = known.where(F.col("label").isin(0.0, 1.0)).select("candidate", "around", "before2", "before", "after", "path", F.col("label").cast("double").alias("label"))
+    known = known.withColumn("key", F.concat_ws("\u0001", "candidate", "before", "after", "path"))
+    sample = bounded_sample(known, "label", "key", per_label)
+    training = scratch.table(with_features(sample, dictionary).select("made", "context", "label", "key").orderBy("key", "label").coalesce(1), "training")
     labels = [r.label for r in training.select("label").distinct().collect()]
     ready = with_features(found, dictionary)
     if len(labels) < 2:
         scored = ready.withColumn("score", F.lit(float(labels[0]) if labels else 0.5))
     else:
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        forest = RandomForestClassifier(numTrees=40, maxDepth=6, seed=11, probabilityCol="probability").fit(vectors.transform(training))
-        scored = forest.transform(vectors.transform(ready)).withColumn("score", vector_to_array("probability")[1])
+        forest = RandomForestClassifier(numTrees=40, maxDepth=8, seed=11, probabilityCol="probability").fit(vectors(training))
+        scored = forest.transform(vectors(ready)).withColumn("score", vector_to_array("probability")[1])
     return scored.select("doc_id", "word", "part", "candidate", "score", (F.col("score") >= threshold).alias("secret"))
 
 
