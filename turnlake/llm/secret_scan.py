@@ -32,7 +32,7 @@ OPERATOR = "(?:[=:]++>?+)"
 NAME_ENDS, ASSIGNS = NAME + "$", NAME + OPERATOR + "[\"'`]*$"
 WITHIN = NAME + OPERATOR + r"(?=(\S+))"
 SCHEME = r"(?i)^[\"'`]?(?:bearer|basic|token)$"  # stands between the name and the value in headers
-BEGINS, KEY_BLOCK = "-----BEGIN$", r"(?s)^-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*-----END$"
+BEGINS, KEY_BLOCK = "-----BEGIN", r"(?s)^-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*-----END$"
 FEATURES = ["length", "digits", "lowers", "uppers", "others", "up", "down", "to_digit", "from_digit", "distinct", "alternation", "coverage", "path_depth", "before_length", "after_length"]
 CONTEXT_BUCKETS = 128  # for words beside the candidate and parts of its path
 
@@ -75,11 +75,14 @@ def candidates(docs: DataFrame, path: Column | None = None, text: str = "text",
     words = docs.select(F.col(doc_id).alias("doc_id"), (F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))).alias("path"), F.split(F.coalesce(F.col(text), F.lit("")), r"\s+").alias("w"))
     none = F.array().cast("array<string>")
     at = lambda i, k: F.coalesce(F.get("w", i + k), F.lit(""))
-    near_operator = lambda i: F.get("w", i).rlike("[=:]") | at(i, -1).rlike("[=:]") | at(i, -2).rlike("[=:]")
-    run = lambda x: ((F.length(x) >= LEAST_LENGTH) & x.rlike("[0-9]")) | ((F.length(x) >= 16) & x.rlike(MIXED))
-    likely = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: run(F.get("w", i)) | near_operator(i) | F.get("w", i).rlike(KEY) | F.get("w", i).rlike(BEGINS))
+    operator = lambda x: x.contains("=") | x.contains(":")
+    near_operator = lambda i: operator(F.get("w", i)) | operator(at(i, -1)) | operator(at(i, -2))
+    run = lambda x: (F.length(x) >= LEAST_LENGTH) & (x.rlike("[0-9]") | ((F.length(x) >= 16) & x.rlike(MIXED)))
+    # nothing shorter is a run, a key in a provider's format or the first word of a key block
+    long = lambda x: (F.length(x) >= LEAST_LENGTH) & (x.rlike("[0-9]") | x.endswith(BEGINS) | ((F.length(x) >= 16) & x.rlike(MIXED)) | x.rlike(KEY))
+    likely = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: long(F.get("w", i)) | near_operator(i))
     named = lambda i: F.when(near_operator(i), assigned_values(F.col("w"), i)).otherwise(none)
-    block = lambda i: F.when(F.get("w", i).rlike(BEGINS), key_block(F.col("w"), i)).otherwise(none)
+    block = lambda i: F.when(F.get("w", i).endswith(BEGINS), key_block(F.col("w"), i)).otherwise(none)
     beside = F.transform(likely, lambda i: F.struct(i.alias("word"), F.get("w", i).alias("around"), at(i, -2).alias("before2"), at(i, -1).alias("before"), at(i, 1).alias("after"), F.concat(named(i), block(i)).alias("values")))
     near = words.select("doc_id", "path", F.explode(beside).alias("x")).select("doc_id", "path", "x.*")
     runs, sure = F.regexp_extract_all("around", F.lit(RUN), F.lit(0)), F.concat("values", F.regexp_extract_all("around", F.lit(KEY), F.lit(0)))
