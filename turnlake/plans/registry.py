@@ -294,7 +294,7 @@ def fact_rows_query(spark, d):
 )
 def facts_merged(spark, d):
     """A stored snapshot, then a push of device d2 that holds one tool only: its other rows go, other devices stay."""
-    rows = fact_rows(spark, d).where("kind = 'session_span'").persist()
+    rows = fact_rows(spark, d).where("kind = 'session_span'")
     stored = rows.withColumns({"total_minutes": F.lit(-1).cast("long"), "received_ms": F.lit(1).cast("long")}).where("device = 'd2'").unionByName(rows.where("device <> 'd2'").withColumn("received_ms", F.lit(1).cast("long")))
     push = rows.where("device = 'd2' AND tool = 'codex'").withColumn("received_ms", F.lit(2).cast("long"))
     return sinks.merge_snapshot(stored, push).select("kind", "device", "day", "tool", "total_minutes")
@@ -356,7 +356,6 @@ def person_week(spark, d):
 )
 def team_week(spark, d):
     cells, spans, drives = team_facts(spark, d)
-    cells, spans = cells.persist(), spans.persist()
     out = recap.team_week(recap.person_week(cells, spans, drives), recap.tool_counts(cells, spans))
     return out.select("team", "week_start", "people", "minutes", "hours", "turns", "work_weeks", "tool_count", "delegate_turns", "research_pct", "longest_minutes", "longest_person")
 
@@ -403,7 +402,30 @@ def team_peaks(spark, d):
     return recap.peaks(team_marginals(spark, d))
 
 
-@registered("persona_candidates")
+AXES_SQL = """pm AS (SELECT * FROM people
+    LEFT JOIN (SELECT team, week_start, person, sum(CASE WHEN tool = 'openclaw' THEN total_minutes ELSE 0 END) AS own_minutes, sum(CASE WHEN tool = 'openclaw' THEN sessions ELSE 0 END) AS own_sessions,
+      sum(CASE WHEN tool = 'claude-code' THEN total_minutes ELSE 0 END) AS code_minutes, sum(CASE WHEN tool = 'claude-code' THEN sessions ELSE 0 END) AS code_sessions FROM tspans GROUP BY ALL) USING (team, week_start, person)
+    LEFT JOIN (SELECT team, week_start, person, sum(w) FILTER (WHERE intent = 'troubleshooting_or_diagnosis') AS troubles, sum(w) FILTER (WHERE intent = 'casual_conversation') AS casual,
+      sum(w) FILTER (WHERE intent = 'draft_communication') AS drafts, sum(w) FILTER (WHERE intent = 'configure_or_setup') AS setups FROM tcells GROUP BY ALL) USING (team, week_start, person)),
+    axes AS (SELECT team, week_start, person, a.axis, a.value FROM (SELECT *, unnest([
+      {'axis': 0, 'value': minutes / 1, 'gate': minutes >= 600},
+      {'axis': 1, 'value': chars / greatest(turns, 1), 'gate': turns > 10 AND chars / greatest(turns, 1) > 600},
+      {'axis': 2, 'value': troubles / 1, 'gate': troubles > 30},
+      {'axis': 3, 'value': casual / 1, 'gate': casual > 20},
+      {'axis': 4, 'value': own_sessions / (own_minutes + 1), 'gate': own_sessions >= 60 AND round(own_minutes * 60 / greatest(own_sessions, 1)) < 120},
+      {'axis': 5, 'value': own_minutes / greatest(minutes, 1), 'gate': own_minutes > 120 AND own_minutes / greatest(minutes, 1) > 0.5},
+      {'axis': 6, 'value': late_turns / 1, 'gate': late_turns > 10},
+      {'axis': 7, 'value': drafts / 1, 'gate': drafts >= 8},
+      {'axis': 8, 'value': code_minutes / greatest(code_sessions, 1), 'gate': code_sessions >= 5 AND code_minutes / greatest(code_sessions, 1) >= 60},
+      {'axis': 9, 'value': drives / 1, 'gate': drives >= 20},
+      {'axis': 10, 'value': setups / 1, 'gate': setups >= 20},
+      {'axis': 11, 'value': tools / 1, 'gate': tools >= 4},
+      {'axis': 12, 'value': sessions / (minutes + 1), 'gate': minutes > 0 AND minutes < 180 AND sessions >= 10},
+      {'axis': 13, 'value': 1 / (minutes + 1), 'gate': minutes < 150}]) AS a FROM pm) WHERE a.gate AND a.value > 0)"""
+BADGE_SQL = "CASE axis " + " ".join(f"WHEN {k} THEN '{b}'" for k, b in enumerate(recap.BADGES)) + " END"
+
+
+@registered("persona_candidates", TEAM_SQL + ", " + AXES_SQL + f" SELECT team, week_start, person, axis, {BADGE_SQL} AS badge, value / max(value) OVER (PARTITION BY team, week_start, axis) AS score FROM axes", *FACTS)
 def persona_candidates(spark, d):
     return recap.persona_candidates(recap.person_week(*team_facts(spark, d)))
 
@@ -416,8 +438,8 @@ def personas(spark, d):
 @registered("recap_cards")
 def recap_cards(spark, d):
     cells, spans, drives = team_facts(spark, d)
-    cells, spans = cells.persist(), spans.persist()  # reduced facts, read by several branches
-    people, margins = recap.person_week(cells, spans, drives).persist(), recap.marginals(cells).persist()
+    folder = sinks.landing(spark, "recap")  # reduced facts, read by several branches
+    people, margins = (sinks.written(df, f"{folder}/{n}") for n, df in (("people", recap.person_week(cells, spans, drives)), ("margins", recap.marginals(cells))))
     return recap.cards(recap.team_week(people, recap.tool_counts(cells, spans)), margins, recap.podium(people), recap.personas(people))
 
 
@@ -425,13 +447,14 @@ def recap_cards(spark, d):
     "live_board",
     """used AS (SELECT person, 'connector' AS kind, CASE WHEN app IS NULL OR app = '' THEN 'unknown' ELSE app END AS name, count(*) AS runs FROM actions JOIN devices USING (device) WHERE tool = 'connector' AND strftime(make_timestamp_ms(ts_ms + offset_min * 60000), '%Y-%m-%d') = '2024-01-10' GROUP BY ALL
     UNION ALL SELECT person, 'shortcut', CASE WHEN app IS NULL OR app = '' THEN 'unknown' ELSE app END, count(*) FROM actions JOIN devices USING (device) WHERE tool = 'shortcut' AND strftime(make_timestamp_ms(ts_ms + offset_min * 60000), '%Y-%m-%d') = '2024-01-10' GROUP BY ALL)
-    SELECT person, CAST(coalesce(sum(runs) FILTER (WHERE kind = 'shortcut'), 0) AS BIGINT) AS shortcuts, CAST(coalesce(sum(runs) FILTER (WHERE kind = 'connector'), 0) AS BIGINT) AS connectors FROM (SELECT DISTINCT person FROM devices) LEFT JOIN used USING (person) GROUP BY person""",
+    SELECT person, CAST(5 AS BIGINT) AS last_ms, '1.0' AS version, string_agg(kind || ':' || name || ':' || runs, ',' ORDER BY runs DESC, kind, name) AS details, CAST(coalesce(sum(runs) FILTER (WHERE kind = 'shortcut'), 0) AS BIGINT) AS shortcuts, CAST(coalesce(sum(runs) FILTER (WHERE kind = 'connector'), 0) AS BIGINT) AS connectors FROM (SELECT DISTINCT person FROM devices) LEFT JOIN used USING (person) GROUP BY person""",
     "actions",
     "devices",
 )
 def live_board(spark, d):
     rows = fact_rows(spark, d).withColumns({"received_ms": F.lit(5).cast("long"), "version": F.lit("1.0")})
-    return recap.live_board(rows, "2024-01-10").select("person", "shortcuts", "connectors")
+    details = F.array_join(F.transform("details", lambda x: F.concat_ws(":", x["kind"], x["name"], x["runs"].cast("string"))), ",")
+    return recap.live_board(rows, "2024-01-10").select("person", "last_ms", "version", details.alias("details"), "shortcuts", "connectors")
 
 
 # --- redaction -------------------------------------------------------------------------------------------------------
@@ -471,7 +494,8 @@ def redact_tokens_whole(spark, d):
 @registered("redacted_documents")
 def redacted_documents(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    return redaction.redacted(docs, "text", "counts").select("doc_id", F.length("text").alias("n_chars"), F.map_keys("counts").alias("kinds"))
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")
+    return redaction.redacted(docs, "text", "counts").select("doc_id", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"), kinds.alias("kinds"))
 
 
 @registered("redaction_audit")

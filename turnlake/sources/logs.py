@@ -1,4 +1,4 @@
-"""Actions from hook events, gateway and narrator logs, and voice traces."""
+"""Actions from hook events, gateway and narrator logs, and voice traces. Targets are redacted before they are cut (OP-49)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions import classify as cl
 from turnlake.functions import text as tf
+from turnlake.functions.redaction import redacted
 from turnlake.sources.transcripts import text_of
 
 SOURCE = "voice-shortcuts"
@@ -31,7 +32,8 @@ def hook_events(events: DataFrame, cursor: int = -1) -> tuple[DataFrame, DataFra
     split = F.col("source_ref").contains(":")
     session = F.coalesce(F.nullif("session_id", F.lit("")), F.when(split, F.regexp_extract("source_ref", "^(.*):([^:]*)$", 1)), F.lit(""))
     call = F.when(split, F.regexp_extract("source_ref", "^(.*):([^:]*)$", 2)).otherwise(F.col("source_ref"))
-    acts = action(rows, source="hook", ext_id=F.concat_ws("\u001f", session, call), session_id=session, actor="agent", app=F.col("a.app"), tool=F.col("a.tool"), action=F.col("a.action"), kind=F.col("a.kind"), target_redacted=tf.hook_preview(F.col("a.target")), ts_ms=F.col("ts"))
+    acts = action(rows, source="hook", ext_id=F.concat_ws("\u001f", session, call), session_id=session, actor="agent", app=F.col("a.app"), tool=F.col("a.tool"), action=F.col("a.action"), kind=F.col("a.kind"), target_redacted=F.col("a.target"), ts_ms=F.col("ts"))
+    acts = redacted(acts, "target_redacted").withColumn("target_redacted", tf.hook_preview(F.col("target_redacted")))
     return acts, new.agg(F.coalesce(F.max("event_id"), F.lit(cursor)).alias("cursor"))
 
 
@@ -44,7 +46,7 @@ def gateway_log(lines: DataFrame) -> DataFrame:
     title = F.regexp_replace(F.regexp_extract("rest", r'title="(.*)$', 1), '"+$', "")
     rows = rows.withColumns({"run": run, "key": key, "title": title}).where("ts_ms IS NOT NULL AND key NOT IN ('', '-')")
     ext = F.concat_ws("\u001f", F.lit("gw"), F.col("ts_ms").cast("string"), F.col("run").cast("string"), "key")
-    return action(rows, source=SOURCE, ext_id=ext, session_id="voice", actor="human", app="voice", tool="shortcut", action=F.col("key"), kind="mutating", target_redacted=F.col("title"), ts_ms=F.col("ts_ms"))
+    return redacted(action(rows, source=SOURCE, ext_id=ext, session_id="voice", actor="human", app="voice", tool="shortcut", action=F.col("key"), kind="mutating", target_redacted=F.col("title"), ts_ms=F.col("ts_ms")), "target_redacted")
 
 
 def narrator_log(lines: DataFrame) -> DataFrame:
@@ -74,4 +76,4 @@ def voice_trace(lines: DataFrame) -> DataFrame:
     number = lambda k: F.coalesce(F.try_variant_get(v, f"$.{k}", "bigint"), F.lit(0)).cast("string")
     rows = rows.withColumns({"ts_ms": tf.epoch_ms(text_of(v, "$.ts")), "shortcut": text_of(v, "$.tool")}).where("ts_ms IS NOT NULL AND shortcut IS NOT NULL")
     ext = F.concat_ws(":", text_of(v, "$.ts"), number("pid"), number("runId"), "shortcut")
-    return action(rows, source=SOURCE, ext_id=ext, session_id=F.coalesce(text_of(v, "$.sessionKey"), F.lit("voice")), actor="human", app="voice", tool="shortcut", action=F.col("shortcut"), kind="mutating", target_redacted=text_of(v, "$.command"), ts_ms=F.col("ts_ms"))
+    return redacted(action(rows, source=SOURCE, ext_id=ext, session_id=F.coalesce(text_of(v, "$.sessionKey"), F.lit("voice")), actor="human", app="voice", tool="shortcut", action=F.col("shortcut"), kind="mutating", target_redacted=text_of(v, "$.command"), ts_ms=F.col("ts_ms")), "target_redacted")

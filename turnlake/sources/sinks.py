@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,18 @@ def flat_actions(actions: DataFrame) -> DataFrame:
     return actions.select(F.lit("action/1").alias("schema"), F.concat_ws(":", "device", "source", "ext_id").alias("event_id"), utc_day(F.col("ts_ms")).alias("day"), *actions.columns)
 
 
+def landing(spark: SparkSession, name: str) -> str:
+    """A new folder for a written export: under spark.checkpoint.dir, which all executors share; in local mode, where that may be unset, under the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/turnlake-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, written to a folder and read back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_by_day(rows: DataFrame, path: str, *order: str) -> None:
     """JSON lines by day; null fields are left out; each file is ordered, no global sort (OP-86)."""
     rows.repartition("day", F.pmod(F.xxhash64("event_id"), F.lit(16))).sortWithinPartitions("day", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").json(path)

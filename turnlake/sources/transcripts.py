@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnlake.functions import classify as cl
+from turnlake.functions import redaction
 from turnlake.functions import text as tf
 from turnlake.operators.dedupe import SESSION
 
@@ -72,13 +73,14 @@ def blocks_text(v: Column, path: str = "$.message.content") -> Column:
 def assembled(rows: DataFrame, tool: str, surface: str = "cli") -> Parsed:
     """Turns and sessions of rows with device, external_id, file, modified_ms, model, provider, pos, role, redacted_text, ts_ms.
 
-    Rows without a role only stretch the session. Positions are numbered within the file; `ord` orders versions.
+    Rows without a role only stretch the session. Positions are numbered within the file; `ord` orders versions. Texts are
+    redacted here, so that no raw text of a transcript is ever written (OP-49).
     """
     order = F.struct("modified_ms", "file")
     named = rows.withColumns({"tool": F.lit(tool), "ord": order})
     said = named.where(F.col("role").isNotNull())
     w = Window.partitionBy("device", "external_id", "file").orderBy("pos")
-    turns = said.withColumn("seq", (F.row_number().over(w) - 1).cast("long")).select(*SESSION, "seq", "role", "redacted_text", "ts_ms", "ord", "file")
+    turns = redaction.gated_turns(said).withColumn("seq", (F.row_number().over(w) - 1).cast("long")).select(*SESSION, "seq", "role", "redacted_text", "ts_ms", "ord", "file")
     sessions = named.groupBy(*SESSION, "ord", "provider", "model").agg(F.min("ts_ms").alias("started_ms"), F.max("ts_ms").alias("ended_ms"), F.count("role").alias("message_count")).withColumn("surface", F.lit(surface))
     return Parsed(turns, sessions)
 
@@ -145,7 +147,7 @@ def agent_actions(lines: DataFrame, since_ms: int = 0, source: str = "openclaw")
     """One action for each tool call that is one, of any assistant message (OP-04, OP-33, OP-54).
 
     A call without an id is numbered within its file; without a session header the call's id stands for the session. The
-    target is still to be redacted, then cut with preview() (OP-49).
+    target is redacted, then cut to one line (OP-49).
     """
     v = F.col("v")
     session = first_of(F.col("lines"), lambda x: F.when(text_of(x, "$.type") == "session", text_of(x, "$.id")))
@@ -154,4 +156,4 @@ def agent_actions(lines: DataFrame, since_ms: int = 0, source: str = "openclaw")
     nth = F.row_number().over(Window.partitionBy("file", F.col("c.id").isNull()).orderBy("pos", "block")) - 1
     call = F.coalesce("c.id", F.concat_ws("-", F.lit("auto"), F.col("ts_ms").cast("string"), nth.cast("string")))
     acts = acts.withColumn("call", call).withColumn("session_id", F.coalesce("header", "call")).where(F.col("ts_ms") >= since_ms)
-    return acts.select("device", F.lit(source).alias("source"), F.concat_ws("\u001f", "session_id", "call").alias("ext_id"), "session_id", F.lit("agent").alias("actor"), "a.app", "a.tool", "a.action", "a.kind", F.col("a.target").alias("target_redacted"), "ts_ms")
+    return redaction.gated_actions(acts.select("device", F.lit(source).alias("source"), F.concat_ws("\u001f", "session_id", "call").alias("ext_id"), "session_id", F.lit("agent").alias("actor"), "a.app", "a.tool", "a.action", "a.kind", F.col("a.target").alias("target_redacted"), "ts_ms"))

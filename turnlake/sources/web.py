@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlake.functions import classify as cl
+from turnlake.functions import redaction
 from turnlake.functions import taxonomy as tx
 from turnlake.functions.text import trimmed
 
@@ -16,14 +17,14 @@ ACTIONS = "actions array<struct<ext_id:string,app:string,action:string,kind:stri
 def web_chats(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns of chat messages (device, arrived_ms, value) and the messages rejected for their tool or shape (OP-09).
 
-    pos orders the turns of a session over all its messages; an unlisted role becomes unknown.
+    pos orders the turns of a session over all its messages; an unlisted role becomes unknown. Texts are redacted (OP-49).
     """
     parsed = messages.withColumn("m", F.from_json("value", CHAT))
     good = F.coalesce(F.col("m.tool").isin(list(tx.WEB_TOOLS)) & F.col("m.external_id").isNotNull() & F.col("m.turns").isNotNull(), F.lit(False))
     rows = parsed.where(good).select("device", "arrived_ms", "m.tool", "m.external_id", "m.model", F.posexplode("m.turns").alias("i", "t"))
     role = F.when(F.col("t.role").isin("user", "assistant"), F.col("t.role")).otherwise("unknown")
     turns = rows.select("device", "tool", "external_id", "model", cl.mapped(F.col("tool"), tx.WEB_TOOLS).alias("provider"), F.struct("arrived_ms", "i").alias("pos"), role.alias("role"), trimmed(F.col("t.text")).alias("redacted_text"), F.col("t.ts_ms").alias("ts_ms"))
-    return turns.where("redacted_text <> ''"), parsed.where(~good).drop("m")
+    return redaction.gated_turns(turns.where("redacted_text <> ''")), parsed.where(~good).drop("m")
 
 
 def web_actions(batches: DataFrame) -> DataFrame:

@@ -63,15 +63,20 @@ def deduplicated_actions(actions: DataFrame, late: str = "7 days") -> DataFrame:
     return timed.dropDuplicatesWithinWatermark(["device", "source", "ext_id"]).drop("ts")
 
 
-def store_actions(actions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append to a table only actions that it doesn't hold, however late they come (OP-88, exact)."""
+def store_actions(actions: DataFrame, path: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
+    """Append to a table only actions that it doesn't hold, however late they come (OP-88, exact).
+
+    The table is partitioned by a bucket of the key, and a batch reads the keys of its own buckets only.
+    """
+    key = ["device", "source", "ext_id"]
 
     def add(batch: DataFrame, _: int) -> None:
-        key = ["device", "source", "ext_id"]
-        fresh = dedupe.first_wins(batch, key, F.col("ts_ms"))
+        fresh = dedupe.first_wins(batch, key, F.col("ts_ms")).withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
         if table_exists(batch.sparkSession, path):
-            fresh = fresh.join(batch.sparkSession.read.parquet(path).select(*key), key, "left_anti")
-        fresh.write.mode("append").parquet(path)
+            mine = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most `buckets`
+            held = batch.sparkSession.read.parquet(path).where(F.col("bucket").isin(mine)).select("bucket", *key)
+            fresh = fresh.join(held, ["bucket", *key], "left_anti")
+        fresh.write.mode("append").partitionBy("bucket").parquet(path)
 
     return actions.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -121,17 +126,16 @@ def ingest_pushes(pushes: DataFrame, path: str, checkpoint: str, archive: str |
     return pushes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain_queue(batch_of: Callable[[], DataFrame], label: Callable[[DataFrame], DataFrame], persist: Callable[[DataFrame], None], most: int = 1000) -> int:
+def drain_queue(batch_of: Callable[[], DataFrame], label: Callable[[DataFrame], DataFrame], persist: Callable[[DataFrame], None]) -> int:
     """Label bounded batches until the queue is empty or a batch labels nothing; how many batches ran (OP-92).
 
     batch_of gives the next requests (failures already count against them), label their results with last_error.
     """
-    for n in range(most):
-        requests = batch_of()
-        if requests.isEmpty():
-            return n
+    n = 0
+    while not (requests := batch_of()).isEmpty():
         results = label(requests)
         persist(results)
+        n += 1
         if results.where("last_error IS NULL").isEmpty():
-            return n + 1
-    return most
+            break
+    return n
