@@ -1,8 +1,9 @@
 """FLAC columns: lossless coding of sample bytes, verified decoding, and PCM blocks with seekable sample offsets.
 
-Streams are mono, 8 bits a sample, with a seek point for every frame, so that the frames of many streams are decoded side
-by side: one numpy lane for each frame, stepping through Rice residuals and linear predictors together. Every frame
-is verified by its header's CRC-8 and its CRC-16 and every stream by the MD5 of its samples.
+Streams written here are mono, 8 bits a sample, with a seek point for every frame, so that the frames of many streams are decoded
+side by side: one numpy lane for each frame, stepping through Rice residuals and linear predictors together. Mono streams of other
+encoders, with any block sizes, partitions, Rice and escape codes and without seek points, are decoded frame by frame. Every
+frame is verified by its header's CRC-8 and its CRC-16 and every stream by the MD5 of its samples, where it has one.
 """
 
 from __future__ import annotations
@@ -243,8 +244,6 @@ def stream_parts(media: bytes) -> tuple[int, bytes, list[tuple[int, int, int]],
         raise Damaged("not mono, 8 bits")
     n = packed & ((1 << 36) - 1)
     points = [p for p in points if p[0] != (1 << 64) - 1]
-    if sum(p[2] for p in points) != n:
-        raise Damaged("seek points don't cover the samples")
     return n, info[18:], points, at
 
 
@@ -260,8 +259,8 @@ for _k in range(16):
     LEADING[1 << _k : 2 << _k] = 15 - _k
 
 
-def decode(streams: list[bytes]) -> list[np.ndarray | Damaged]:
-    """Samples of each stream (signed 8-bit), or what is wrong with it. Frames of all streams are decoded side by side."""
+def decode_own(streams: list[bytes]) -> list[np.ndarray | Damaged]:
+    """Samples of each stream of this module's form, or why it isn't one. Frames of all streams are decoded side by side."""
     found: list[np.ndarray | Damaged] = []
     parts, first, size, count, number, owner, at = [], [], [], [], [], [], 0
     sums: list[bytes] = []
@@ -269,6 +268,8 @@ def decode(streams: list[bytes]) -> list[np.ndarray | Damaged]:
         sums.append(b"")
         try:
             n, sums[s], points, begin = stream_parts(media)
+            if sum(p[2] for p in points) != n:
+                raise Damaged("seek points don't cover the samples")
         except Damaged as e:
             found.append(e)
             continue
@@ -359,8 +360,9 @@ def decode_predicted(words: np.ndarray, at: np.ndarray, count: np.ndarray, end:
             own = precision[order[on] > j]
             coefs[j, has] = get(words, at[has] + 9 + own * j, own, signed=True)
         at[on] += 9 + precision * order[on]
-    # the residual's header: 2 bits coding method, 4 bits partition order (one partition here), 4 bits Rice parameter
+    # the residual's header: 2 bits coding method, 4 bits partition order (both 0 in this module's form), 4 bits Rice parameter
     rice = get(words, at + 6, 4)
+    end = np.where((get(words, at, 6) != 0) | (rice == 15), -1, end)  # another encoder's: not to be decoded here
     at = at + 10
     mask, room = (1 << rice) - 1, 24 - rice
     alive = np.searchsorted(-count, -np.arange(steps), side="left")  # lanes with more than t samples come first
@@ -393,6 +395,135 @@ def decode_predicted(words: np.ndarray, at: np.ndarray, count: np.ndarray, end:
     return history.T.astype(np.int8)
 
 
+class Bits:
+    """Reads numbers of the bits of a stream from a position on."""
+
+    def __init__(self, data: bytes, first: int):
+        self.data, self.at = data, 8 * first
+
+    def take(self, width: int, signed: bool = False) -> int:
+        if not width:
+            return 0
+        lo, end = self.at >> 3, self.at + width
+        if end > 8 * len(self.data):
+            raise Damaged("the stream is cut short")
+        value = int.from_bytes(self.data[lo : -(-end // 8)], "big") >> (-end % 8) & ((1 << width) - 1)
+        self.at = end
+        return value - (1 << width) if signed and value >> (width - 1) else value
+
+    def zeros(self) -> int:
+        """Zero bits before the next set one, which is passed too."""
+        n = 0
+        while True:
+            left = 8 - (self.at & 7)
+            if self.at >> 3 >= len(self.data):
+                raise Damaged("the stream is cut short")
+            here = self.data[self.at >> 3] & ((1 << left) - 1)
+            if here:
+                k = left - here.bit_length()
+                self.at += k + 1
+                return n + k
+            self.at += left
+            n += left
+
+
+def residuals(bits: Bits, size: int, order: int) -> list[int]:
+    """The residuals of a subframe: partitions of Rice codes with parameters of 4 or 5 bits, or of plain numbers behind an escape code."""
+    wide, parts = bits.take(2), 1 << bits.take(4)
+    if wide > 1 or size % parts or size // parts < order:
+        raise Damaged("a residual's header is wrong")
+    width, out = 4 + wide, []
+    for k in range(parts):
+        rice, n = bits.take(width), size // parts - (order if k == 0 else 0)
+        if rice == (1 << width) - 1:
+            plain = bits.take(5)
+            out += [bits.take(plain, signed=True) for _ in range(n)]
+            continue
+        for _ in range(n):
+            folded = bits.zeros() << rice | bits.take(rice)
+            out.append(folded >> 1 ^ -(folded & 1))
+    return out
+
+
+def subframe(bits: Bits, size: int, depth: int) -> list[int]:
+    """The samples of one subframe of any kind."""
+    if bits.take(1):
+        raise Damaged("a subframe's header is wrong")
+    kind, wasted = bits.take(6), bits.zeros() + 1 if bits.take(1) else 0
+    depth -= wasted
+    if kind == 0:
+        out = [bits.take(depth, signed=True)] * size
+    elif kind == 1:
+        out = [bits.take(depth, signed=True) for _ in range(size)]
+    elif 8 <= kind <= 12 or kind >= 32:
+        order = kind - 8 if kind <= 12 else kind - 31
+        if order > size:
+            raise Damaged("a predictor's order is larger than its block")
+        out = [bits.take(depth, signed=True) for _ in range(order)]
+        coefs, shift = FIXED[order] if kind <= 12 else (), 0
+        if kind >= 32:
+            precision = bits.take(4) + 1
+            shift = bits.take(5, signed=True)
+            if precision == 16 or shift < 0:
+                raise Damaged("a predictor's header is wrong")
+            coefs = [bits.take(precision, signed=True) for _ in range(order)]
+        for r in residuals(bits, size, order):
+            out.append(r + (sum(c * x for c, x in zip(coefs, reversed(out), strict=False)) >> shift))
+    else:
+        raise Damaged("an unknown kind of subframe")
+    return [x << wasted for x in out]
+
+
+def decode_any(media: bytes) -> np.ndarray:
+    """Samples of one mono stream of 8 bits of any encoder, decoded frame by frame; raises Damaged."""
+    n, md5, points, begin = stream_parts(media)
+    at, frames = begin, set()
+    out: list[int] = []
+    while len(out) < n:
+        first, bits = at, Bits(media, at)
+        if bits.take(15) != 0x7FFC:
+            raise Damaged("no frame where one should begin")
+        bits.take(1)
+        code, rate, channels, depth = bits.take(4), bits.take(4), bits.take(4), bits.take(3)
+        bits.take(1)
+        if code == 0 or rate == 15 or channels or depth not in (0, 1):
+            raise Damaged("not mono, 8 bits")
+        lead = bits.take(8)
+        bits.take(8 * max(0, 7 - (~lead & 0xFF).bit_length() if lead >= 0xC0 else 0))
+        size = 192 if code == 1 else 144 << code if code <= 5 else bits.take(8 * (code - 5)) + 1 if code <= 7 else 1 << code
+        bits.take({12: 8, 13: 16, 14: 16}.get(rate, 0))
+        end = bits.at >> 3
+        if bits.take(8) != int(CRC8.of(np.frombuffer(media[first:end], np.uint8), np.array([0]), np.array([end - first]))[0]):
+            raise Damaged("a frame's header has a wrong checksum")
+        out += subframe(bits, size, 8)
+        end = -(-bits.at // 8)
+        if media[end : end + 2] != int(CRC16.of(np.frombuffer(media[first:end], np.uint8), np.array([0]), np.array([end - first]))[0]).to_bytes(2, "big"):
+            raise Damaged("a frame's checksum is wrong")
+        at = end + 2
+        frames.add((len(out) - size, first - begin, size))
+    if not frames.issuperset(points):
+        raise Damaged("a seek point is wrong")
+    x = np.array(out, np.int64)
+    if len(x) != n or (n and (x.min() < -128 or x.max() > 127)):
+        raise Damaged("the samples don't fit the stream's header")
+    x = x.astype(np.int8)
+    if any(md5) and hashlib.md5(x.tobytes()).digest() != md5:
+        raise Damaged("the MD5 of the samples is wrong")
+    return x
+
+
+def decode(streams: list[bytes]) -> list[np.ndarray | Damaged]:
+    """Samples of each stream (signed 8-bit), or what is wrong with it: side by side where the stream has this module's form, else frame by frame."""
+    found = decode_own(streams)
+    for s, x in enumerate(found):
+        if isinstance(x, Damaged) and streams[s][:4] == b"fLaC":
+            try:
+                found[s] = decode_any(streams[s])
+            except Damaged as e:
+                found[s] = e
+    return found
+
+
 def payload(text: str | None) -> bytes:
     """UTF-8 bytes of a text with zero bytes up to a positive multiple of 64."""
     data = (text or "").encode("utf-8", "surrogatepass")
