@@ -51,7 +51,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Trained classifiers, connected components and packing aren't SQL; the tests hold the stages against brute force.
+#: Trained classifiers, connected components and packing aren't SQL. The operators of the stages have brute-force tests of their own;
+#: the test of the stages checks columns, ids and that packing loses no token.
 ORACLE_SQL = None
 
 
