@@ -29,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half.
 
     Null and empty texts have the score of a text without words. Equal texts stay or go together, whatever their ids; a null
-    doc_id is an id like any other. Without labels of both kinds nothing is learned, and all scores are the network's first ones.
+    doc_id is an id like any other. Where all labels to learn from are 1, every document goes; where all are 0 or there are none, all stay.
     """
     net = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     into = free_name(docs, "toxicity")
