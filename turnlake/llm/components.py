@@ -24,9 +24,10 @@ def with_least(near: DataFrame, least: Column, n_edges: int) -> tuple[DataFrame,
     found = near.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
     hub = F.col("n") > max(HUB_LEAST, n_edges // HUB_PART)
     hubs = F.broadcast(found.where(hub).select("u", F.col("m").alias("of_hub")))
-    # edges of hubs find their m here; in the join below they match nothing and are dealt by their other end
-    dealt = near.join(hubs, "u", "left").withColumn("deal", F.when(F.col("of_hub").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("v").bitwiseOR(F.lit(1))))
-    rest = found.where(~hub).select("u", F.lit(0).cast("long").alias("deal"), "m")
+    # edges of hubs find their m here; in the join below they match nothing and are dealt by their other end. `deal` is a hash on both
+    # sides: of a constant the optimizer makes a plain condition, and u alone would be the key
+    dealt = near.join(hubs, "u", "left").withColumn("deal", F.when(F.col("of_hub").isNull(), F.xxhash64("u")).otherwise(F.xxhash64("v")))
+    rest = found.where(~hub).select("u", F.xxhash64("u").alias("deal"), "m")
     return dealt.join(rest.hint("merge"), ["u", "deal"], "left").select("u", "v", F.coalesce("of_hub", "m").alias("m")), found.select("u", "m")
 
 
