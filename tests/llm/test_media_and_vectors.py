@@ -60,6 +60,7 @@ def test_digest_of_documents(spark):
         data = (texts[r.doc_id] or "").encode()
         padded = data + bytes(-len(data) % 64) if data else bytes(64)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.n_blocks, r.last_sample) == (-(-len(padded) // 4096), (len(padded) - 1) // 4096 * 4096)
 
 
 def test_flac_edge_cases(spark):

@@ -549,7 +549,14 @@ def store(text: pd.Series) -> pd.Series:
     return pd.Series([m for part in in_batches(data) for m in encode(data[part])], dtype=object)
 
 
-DIGEST = T.StructType([T.StructField(n, T.LongType() if "sha" not in n and n != "feature" else T.StringType()) for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")])
+DIGEST = T.StructType([T.StructField(n, T.StringType() if "sha" in n or n == "feature" else T.LongType()) for n in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks", "last_sample")])
+PCM_BLOCK = 4096  # samples of a PCM block
+
+
+def pcm(x: np.ndarray, block: int) -> Iterator[tuple[int, bytes]]:
+    """PCM blocks of samples: the first sample's number and unsigned bytes of each."""
+    data = (x.view(np.uint8) ^ 0x80).tobytes()
+    return ((i, data[i : i + block]) for i in range(0, len(data), block))
 
 
 def features(x: np.ndarray) -> str:
@@ -561,18 +568,24 @@ def features(x: np.ndarray) -> str:
 
 @F.pandas_udf(DIGEST)
 def digest(media: pd.Series) -> pd.DataFrame:
-    """What the stored bytes hold once decoded and verified; all null for a damaged stream, with the reason as feature."""
+    """What the stored bytes hold once decoded, verified and cut into PCM blocks, with the number of blocks and the first sample of the last.
+
+    A damaged stream has its size and sum and the reason as feature; the rest is null.
+    """
     rows, streams = [], list(media)
     for part in in_batches(streams):
         for m, x in zip(streams[part], decode(streams[part]), strict=True):
             size, sha = len(m), hashlib.sha256(m).hexdigest()
             if isinstance(x, Damaged):
-                rows.append((None, None, None, size, sha, f"damaged: {x}"))
+                rows.append((None, None, None, size, sha, f"damaged: {x}", None, None))
                 continue
-            data = (x.view(np.uint8) ^ 0x80).tobytes()
-            rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), size, sha, features(x)))
+            total, n, last, tail = hashlib.sha256(), 0, None, b""
+            for last, data in pcm(x, PCM_BLOCK):
+                total.update(data)
+                tail, n = (tail + data)[-64:], n + 1
+            rows.append((len(x), total.hexdigest(), zlib.crc32(tail), size, sha, features(x), n, last))
     out = pd.DataFrame(rows, columns=DIGEST.names)
-    return out.astype({"payload_bytes": "Int64", "tail_crc32": "Int64", "media_bytes": "Int64"})
+    return out.astype({f.name: "Int64" for f in DIGEST if f.dataType == T.LongType()})
 
 
 def with_media(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
@@ -580,7 +593,7 @@ def with_media(docs: DataFrame, text: str = "text", into: str = "media") -> Data
     return docs.withColumn(into, store(F.col(text)))
 
 
-def pcm_blocks(media: DataFrame, key: str, column: str = "media", block: int = 4096) -> DataFrame:
+def pcm_blocks(media: DataFrame, key: str, column: str = "media", block: int = PCM_BLOCK) -> DataFrame:
     """PCM blocks of the streams: key, block_no, first_sample, n_samples, pcm (unsigned bytes), error.
 
     first_sample makes the blocks seekable. A damaged stream gives one row with its error and no samples; a null
@@ -597,8 +610,7 @@ def pcm_blocks(media: DataFrame, key: str, column: str = "media", block: int = 4
                     if isinstance(x, Damaged):
                         rows.append((k, 0, 0, 0, None, str(x)))
                         continue
-                    data = (x.view(np.uint8) ^ 0x80).tobytes()
-                    rows += [(k, i // block, i, len(data[i : i + block]), data[i : i + block], None) for i in range(0, len(data), block)]
+                    rows += [(k, i // block, i, len(data), data, None) for i, data in pcm(x, block)]
                 yield pd.DataFrame(rows, columns=[key, "block_no", "first_sample", "n_samples", "pcm", "error"])
 
     schema = f"`{key}` {kind}, block_no bigint, first_sample bigint, n_samples bigint, pcm binary, error string"
