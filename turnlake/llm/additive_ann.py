@@ -21,7 +21,7 @@ from turnlake.llm.common import Scratch
 
 BOOKS, WORDS, BEAM = 16, 256, 4
 TRAINED_ON = 16_384  # vectors that the codebooks are fitted to, at most
-QUERY_BLOCK, CODE_BLOCK = 256, 8192
+LEAST_QUERIES, MOST_QUERIES, CODE_BLOCK = 256, 2048, 8192  # a query block holds between these numbers of queries on average
 
 
 def nearest_words(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -138,7 +138,9 @@ def neighbours(queries: DataFrame, codes: DataFrame, codebooks: np.ndarray, k: i
     """
     spark = queries.sparkSession
     shared = spark.sparkContext.broadcast(codebooks)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked_for = queries.count()
+    # all codes travel to every block of queries: no more blocks than memory or the idle cores ask for
+    blocks = max(1, -(-asked_for // MOST_QUERIES), min(-(-asked_for // LEAST_QUERIES), spark.sparkContext.defaultParallelism))
     code_blocks = max(1, -(-codes.count() // CODE_BLOCK))
     pack = F.pmod(F.xxhash64(F.lit("codes"), "vec_id"), F.lit(code_blocks))
     gathered = codes.groupBy(pack.alias("b")).agg(F.collect_list(F.struct("vec_id", "codes", "scale", "left", "v")).alias("x"))
