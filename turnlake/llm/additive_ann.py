@@ -150,7 +150,7 @@ def neighbours(queries: DataFrame, codes: DataFrame, codebooks: np.ndarray, k: i
     asked = queries.groupBy(block.alias("q")).agg(F.collect_list(F.struct("vec_id", "v")).alias("x"))
     numbers = F.lit(None).cast("array<double>")
     asked = asked.select("q", F.lit(0).alias("turn"), F.col("x.vec_id").alias("ids"), F.lit(None).cast("array<binary>").alias("codes"), numbers.alias("scales"), numbers.alias("left"), F.col("x.v").alias("v"))
-    both = asked.unionByName(everywhere).repartition(blocks, "q").sortWithinPartitions("q", "turn")
+    both = asked.unionByName(everywhere).repartitionById(blocks, F.col("q")).sortWithinPartitions("q", "turn")  # a task for each block
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("found", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
