@@ -96,7 +96,7 @@ class Search:
     found: tuple[int, int, int] | None = None
 
 
-def find_splitters(keys: DataFrame, total: tuple[int, int], goals: list[tuple[int, int]], rounds: int = 200) -> list[tuple[int, int, int]]:
+def find_splitters(keys: DataFrame, total: tuple[int, int], goals: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """For each (position, slack) in ascending order: a key, and the bytes and rows below it.
 
     With a slack of 0 it is exact: the first row with `position` or more bytes in front of it is the first one not below the key.
@@ -104,7 +104,7 @@ def find_splitters(keys: DataFrame, total: tuple[int, int], goals: list[tuple[in
     """
     open_ = [Search(g, s, (0, 0, 0), (SPACE - 1, *total)) for g, s in goals]
     edges = {(0, SPACE - 1): (0, SPACE - 1)}
-    for _ in range(rounds):
+    while True:
         todo = [s for s in open_ if s.found is None]
         for s in todo:
             near = min((s.low, s.high), key=lambda x: abs(x[1] - s.goal))
@@ -114,8 +114,8 @@ def find_splitters(keys: DataFrame, total: tuple[int, int], goals: list[tuple[in
                 s.found = near
         spans = sorted({(s.low[0], s.high[0]) for s in open_ if s.found is None})
         if not spans:
-            break
-        probes = sorted({p for lo, hi in spans for p in between(*edges.get((lo, hi), (lo, hi)), lo, hi)})
+            return [s.found for s in open_]
+        probes = sorted({p for lo, hi in spans for p in between(*edges.get((lo, hi), (lo, hi)), lo, hi)} - {0, SPACE - 1})
         found = counted(keys, np.array([key_bytes(p) for p in probes], f"S{BYTES}"))
         marks, b, n = [(0, 0, 0)], 0, 0
         for k, p in enumerate([*probes, SPACE - 1]):
@@ -129,13 +129,12 @@ def find_splitters(keys: DataFrame, total: tuple[int, int], goals: list[tuple[in
             if s.found is None:
                 k = max(1, int(np.searchsorted(at, s.goal, "left")))
                 s.low, s.high = marks[k - 1], marks[k]
-    return [s.found or s.high for s in open_]
 
 
 def between(least: int, most: int, low: int, high: int) -> list[int]:
-    """PROBES keys spread over [least, most], the least and greatest key known of the span low .. high, without low and with the key behind most."""
+    """PROBES keys spread over [least, most], the least and greatest key of the rows in the span, and the span's ends, which keep it closed."""
     step = max(1, (most - least) // (PROBES - 1))
-    return [p for p in {*range(least, most + 1, step), most, most + 1} if low < p < high]
+    return [low, *(p for p in (*range(least, most + 1, step), most, most + 1) if low < p < high), high]
 
 
 def split(keys: DataFrame, shards: int, tolerance: float, part_bytes: int) -> Splitters:
