@@ -1,6 +1,7 @@
 """Packing invariants, mixing against numpy, the secret scan, the pipeline and the registry."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -216,6 +217,21 @@ def test_key_blocks_and_mixed_case_runs_are_candidates(spark):
     assert got.get(0) == [whole, "MIIEpAIBAAKCAQEA7"] * 2 and got.get(3) == ["qWeRtYuIoPaSdFgH"] and set(got) <= {0, 3}
 
 
+def test_quotes_and_marks_take_time_in_proportion_to_the_text(spark):
+    """A megabyte of open quotes, of marks that nothing ends, of blocks: each looks ahead to the next mark only."""
+    block = "-----BEGIN PRIVATE KEY----- abcdefghij1 -----END PRIVATE KEY----- "
+    texts = ['token="x ' * 110_000, "token='x token=`y " * 55_000, "-----BEGIN " * 90_000, "-----BEGIN PRIVATE KEY----- " * 37_000, block * 14_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    began = time.time()
+    got = dict(secret_scan.candidates(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect())
+    assert time.time() - began < 60
+    assert got == {0: 2 * 110_000 - 1, 1: 4 * 55_000 - 2, 4: 2 * 14_000}
+    inside = 'pwd="a b\n\tc" \tpwd=\'d "e\' pwd= `f\ng h` pwd="open end'
+    rows = secret_scan.candidates(spark.createDataFrame([(1, inside), (2, " \n" + inside)], "doc_id int, text string")).orderBy("doc_id", "word", "part").collect()
+    for doc, shift in ((1, 0), (2, 1)):
+        assert [(r.word - shift, r.candidate) for r in rows if r.doc_id == doc] == [(0, "a"), (0, "a b c"), (3, "d"), (3, 'd "e'), (6, "f"), (6, "f g h"), (9, "open")]
+
+
 def labelled_corpus(n, seed):
     """Documents with one finding each, of which neither the name beside it nor its form alone tells whether it is a secret."""
     draw = random.Random(seed)

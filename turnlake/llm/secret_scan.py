@@ -2,10 +2,10 @@
 
 Candidates are runs of key characters that hold a digit or mixed case, every value assigned to a name that secrets have, every key in
 a provider's format and every private-key block. The forest weighs their length, character classes and transitions, how much of
-them dictionary words cover, the path of the file and the words beside them; it knows neither the names nor the formats that
-made a candidate, so it can learn that a value is none although its name or format says so. It is fitted to labelled
-findings; where a caller has none, provider formats and assignments stand for true ones and addresses and bare numbers for
-false ones. Everything is DataFrame functions and JVM-side transformers.
+them dictionary words cover, the path of the file and the words beside them, which include the name that a value is assigned
+to. It is fitted to labelled findings. Where a caller has none, provider formats and assignments stand for true ones and
+addresses and bare numbers for false ones: then the forest carries a rule over words and shapes to candidates that the rule doesn't
+label, and agreement with that rule says nothing about true secrets. Everything is DataFrame functions and JVM-side transformers.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ OPERATOR = "(?:[=:]++>?+)"
 NAME_ENDS, ASSIGNS = NAME + "$", NAME + OPERATOR + "[\"'`]*$"
 WITHIN = NAME + OPERATOR + r"(?=(\S+))"
 SCHEME = r"(?i)^[\"'`]?(?:bearer|basic|token)$"  # stands between the name and the value in headers
-BEGINS, KEY_BLOCK = "-----BEGIN", r"(?s)^-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*-----END$"
+QUOTES = ("\"", "'", "`")
+BEGINS, ENDS, KEY_BLOCK = "-----BEGIN", "-----END", r"(?s)^-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*-----END$"
 FEATURES = ["length", "digits", "lowers", "uppers", "others", "up", "down", "to_digit", "from_digit", "distinct", "alternation", "coverage", "path_depth", "before_length", "after_length"]
 CONTEXT_BUCKETS = 128  # for words beside the candidate and parts of its path
 
@@ -43,10 +44,33 @@ def bare(value: Column) -> Column:
     return F.when(quoted != "", quoted).otherwise(F.regexp_replace(value, r"^[\"'`]+|[\"'`,;]+$", ""))
 
 
-def assigned_values(w: Column, i: Column) -> Column:
+def continuations(text: Column, pattern: str) -> Column:
+    """For each word of split(text), what group 1 of the pattern gives for it, with single spaces; the pattern matches every word once."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    lead = F.when(text.rlike(r"^\s"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(lead, F.transform(found, lambda t: F.regexp_replace(t, r"\s+", " ")))
+
+
+def closings(text: Column, quote: str) -> Column:
+    """For each word with an open quote at its begin or behind an operator, the text from there to the closing quote.
+
+    Such a look ahead ends at the next quote of the kind, and the next one begins there at the earliest: together they read a text once.
+    """
+    pattern = rf"(?:\S*[=:>])?{quote}[^\s{quote}]*+(?=(\s[^{quote}]*+{quote}))|\S++"
+    return F.when(text.contains(quote), continuations(text, pattern))
+
+
+def key_blocks(text: Column) -> Column:
+    """For each word that begins a key block, the words after it up to the end mark; a block that another one begins in isn't one."""
+    marked = F.replace(F.replace(F.translate(text, "\u0002\u0003", "??"), F.lit(BEGINS), F.lit("\u0002" + BEGINS)), F.lit(ENDS), F.lit("\u0003" + ENDS))
+    pattern = rf"\x02{BEGINS}(?=(\s[^\x02\x03]*+\x03{ENDS})(?!\S))|\S++"
+    return F.when(text.contains(BEGINS), F.transform(continuations(marked, pattern), lambda t: F.translate(t, "\u0003", "")))
+
+
+def assigned_values(w: Column, i: Column, close: dict[str, Column]) -> Column:
     """The values that begin in word i of w and are assigned to a name of NAMES, in this word or in the two before it.
 
-    A quoted value goes on to its closing quote, over as many words as that takes.
+    A quoted value goes on to its closing quote, over as many words as that takes: close has the rest by the quote.
     """
     at = lambda k: F.coalesce(F.get(w, i + k), F.lit(""))
     word, none = F.get(w, i), F.array().cast("array<string>")
@@ -58,21 +82,31 @@ def assigned_values(w: Column, i: Column) -> Column:
     beside = F.when((direct | schemed) & ~operator(0), F.array(word)).when(behind, F.array(F.regexp_replace(word, f"^{OPERATOR}", ""))).otherwise(none)
     values = F.concat(within, beside)
     open_ = lambda v: v.rlike("^([\"'`])(?!.*\\1)")
-    rest = lambda v: F.concat_ws(" ", v, F.slice(w, i + 2, F.size(w)))
-    return F.filter(F.concat(F.transform(values, bare), F.transform(F.filter(values, open_), lambda v: F.regexp_extract(rest(v), r"^([\"'`])(.+?)\1", 2))), lambda v: v != "")
+
+    def whole(v: Column) -> Column:
+        more = F.lit("")
+        for q, c in close.items():
+            more = F.when(v.startswith(q), F.coalesce(F.get(c, i), F.lit(""))).otherwise(more)
+        return F.regexp_extract(F.concat(v, more), r"^([\"'`])(.+?)\1", 2)
+
+    return F.filter(F.concat(F.transform(values, bare), F.transform(F.filter(values, open_), whole)), lambda v: v != "")
 
 
-def key_block(w: Column, i: Column) -> Column:
-    """The private-key block that begins in word i of w, up to the next end mark, its words joined by spaces; else no value."""
-    rest = F.slice(w, i + 1, F.size(w))
-    size = F.array_position(rest, "-----END").cast("int")
-    block = F.when(size > 0, F.array_join(F.slice(rest, F.lit(1), F.greatest(size, F.lit(1))), " "))
+def key_block(blocks: Column, i: Column) -> Column:
+    """The private-key block that begins in word i, up to the next end mark, its words joined by spaces; else no value."""
+    block = F.concat(F.lit(BEGINS), F.get(blocks, i))
     return F.when(block.rlike(KEY_BLOCK), F.array(block)).otherwise(F.array().cast("array<string>"))
 
 
 def candidates(docs: DataFrame, path: Column | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row for each candidate: doc_id, word (its first word's number in the text), part (its number in the word: runs first, then other values, keys and blocks), candidate, the word around it, the two words before and the one after, and the path."""
-    words = docs.select(F.col(doc_id).alias("doc_id"), (F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))).alias("path"), F.split(F.coalesce(F.col(text), F.lit("")), r"\s+").alias("w"))
+    own = F.coalesce(F.col(text), F.lit(""))
+    close = {q: f"close{k}" for k, q in enumerate(QUOTES)}
+    words = docs.select(
+        F.col(doc_id).alias("doc_id"), (F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))).alias("path"), F.split(own, r"\s+").alias("w"),
+        *[closings(own, q).alias(c) for q, c in close.items()], key_blocks(own).alias("blocks"),
+    )
+    closing = {q: F.col(c) for q, c in close.items()}
     none = F.array().cast("array<string>")
     at = lambda i, k: F.coalesce(F.get("w", i + k), F.lit(""))
     operator = lambda x: x.contains("=") | x.contains(":")
@@ -81,8 +115,8 @@ def candidates(docs: DataFrame, path: Column | None = None, text: str = "text",
     # nothing shorter is a run, a key in a provider's format or the first word of a key block
     long = lambda x: (F.length(x) >= LEAST_LENGTH) & (x.rlike("[0-9]") | x.endswith(BEGINS) | ((F.length(x) >= 16) & x.rlike(MIXED)) | x.rlike(KEY))
     likely = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: long(F.get("w", i)) | near_operator(i))
-    named = lambda i: F.when(near_operator(i), assigned_values(F.col("w"), i)).otherwise(none)
-    block = lambda i: F.when(F.get("w", i).endswith(BEGINS), key_block(F.col("w"), i)).otherwise(none)
+    named = lambda i: F.when(near_operator(i), assigned_values(F.col("w"), i, closing)).otherwise(none)
+    block = lambda i: F.when(F.get("w", i) == BEGINS, key_block(F.col("blocks"), i)).otherwise(none)
     beside = F.transform(likely, lambda i: F.struct(i.alias("word"), F.get("w", i).alias("around"), at(i, -2).alias("before2"), at(i, -1).alias("before"), at(i, 1).alias("after"), F.concat(named(i), block(i)).alias("values")))
     near = words.select("doc_id", "path", F.explode(beside).alias("x")).select("doc_id", "path", "x.*")
     runs, sure = F.regexp_extract_all("around", F.lit(RUN), F.lit(0)), F.concat("values", F.regexp_extract_all("around", F.lit(KEY), F.lit(0)))
