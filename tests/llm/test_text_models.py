@@ -41,6 +41,22 @@ def test_phrases_are_greedy_longest_matches_of_whole_texts():
             assert n == lengths_by_search(t, known[lang][0]), t
 
 
+@pytest.mark.parametrize("piece", ["x", "x ", " ", ". ", "ab", "abc cab", "a" * 300 + "b"])
+def test_repeated_texts_are_parsed_in_time_and_exactly(piece):
+    """A parse that never forgets where it began: phrases equal a search, and a million characters take little time."""
+    draw = random.Random(4)
+    known = {"a": ["".join(draw.choice("abcx .") for _ in range(250)), "   . . . ", "ababab"], "b": ["bcd  . x", " " * 7 + "xx"]}
+    parser = language_id.CrossParser(known)
+    short = "".join(parser_char if parser_char.isalpha() else " " for parser_char in ("q" + piece * 6000)[:6000])
+    row = parser.phrases([short, "abc", short[1:]])
+    for lang, n, last in zip(parser.langs, row[0], row[2], strict=True):
+        plain = "\n".join("".join(c if c.isalpha() else " " for c in t) for t in known[lang])
+        assert (n, last) == (lengths_by_search(short, plain), lengths_by_search(short[1:], plain))
+    began = time.process_time()
+    parser.phrases(["x" + piece * (1_000_000 // len(piece))])
+    assert time.process_time() - began < 4
+
+
 def test_letters_outside_the_alphabet_still_tell_languages_apart():
     draw = random.Random(3)
     script = lambda first, n: "".join(chr(first + draw.randrange(400)) for _ in range(n))

@@ -4,8 +4,9 @@ For each language, a suffix automaton of labelled text recognises every substrin
 parsed greedily into the longest phrases that the automaton knows; the cross-parsing entropy of the text is its
 number of phrases times log2(size of the labelled text), per character. The language that needs fewest such
 normalised phrases wins. All texts of a batch are parsed in step, as lanes of numpy arrays over flat transition tables:
-segments of long texts run side by side, and run again from the state in which the one before them ended until no state
-changes, so that the phrases are those of the whole text.
+segments of long texts run side by side, and run again from the state in which the one before them ended until they are in a
+state that they were in before. Where that doesn't come about in a few rounds, as in repeated text, the rest is parsed in order,
+so the phrases are always those of the whole text and the time is in proportion to it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ UNDETERMINED = "und"
 ALPHABET = 64  # codes 0 pad, 1 anything but letters, 2 .. 17 all other letters by a hash, 18.. the most frequent letters
 RARE = 16
 SEGMENT = 256  # characters parsed by one lane at a time
+EARLY = 48  # characters after which most segments are in the state they were in before
+ROUNDS = 4  # of all segments side by side; what still changes is then parsed in order
 LANES = 8192
 MOST_SLICES = 8192  # labelled slices of all languages together: bounds what is sent to the workers, however many languages there are
 
@@ -120,26 +123,64 @@ class CrossParser:
         roots = np.array(self.roots, np.int32)[:, None]
         start = np.repeat(roots, len(owner), axis=1)
         end, total = np.zeros_like(start), np.zeros_like(start)
+        early, so_far = np.zeros_like(start), np.zeros_like(start)  # state and phrases after the first EARLY characters
         follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1  # lanes that go on with the text of the one before
         todo = np.arange(len(owner))
-        while len(todo):
+        for again in range(ROUNDS):
             for lo in range(0, len(todo), LANES):
                 lane = todo[lo : lo + LANES]
-                state, count = start[:, lane], np.zeros((len(roots), len(lane)), np.int32)
-                for c in np.ascontiguousarray(flat[lane].T):
-                    go = self.table.take(state + c)
-                    ended = go & 1
-                    count += ended
-                    state = go - ended
-                end[:, lane], total[:, lane] = state, count
+                codes = np.ascontiguousarray(flat[lane].T)
+                state, count = self.advance(start[:, lane], codes[:EARLY])
+                differs = (state != early[:, lane]).any(axis=0) if again else np.ones(len(lane), bool)
+                total[:, lane] += count - so_far[:, lane]  # of lanes in the same state as before nothing else changes
+                early[:, lane], so_far[:, lane] = state, count
+                lane, state, count = lane[differs], state[:, differs], count[:, differs]
+                end[:, lane], more = self.advance(state, codes[EARLY:, differs])
+                total[:, lane] = count + more
             todo = follows[(start[:, follows] != end[:, follows - 1]).any(axis=0)]
+            if not len(todo):
+                break
             start[:, todo] = end[:, todo - 1]
+        else:
+            self.in_order(flat, follows, todo, start, end, total)
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         last = np.cumsum(lanes) - 1
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(owner, total[k], len(texts)).astype(np.int64) + (end[k, last] != self.roots[k])
         return out
 
+    def advance(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States and ended phrases of all languages (rows) and lanes (columns) after the characters of `codes` (rows)."""
+        count = np.zeros_like(state)
+        for c in codes:
+            go = self.table.take(state + c)
+            ended = go & 1
+            count += ended
+            state = go - ended
+        return state, count
+
+    def in_order(self, flat: np.ndarray, follows: np.ndarray, todo: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray) -> None:
+        """Bring the lanes that still began in a wrong state up to date, one after the other, each at most once for a language.
+
+        Texts in which the parse depends on where it began, such as repeated ones, would need a round for each of their
+        segments; this takes time in proportion to them.
+        """
+        table, changed = memoryview(self.table), set(todo.tolist())
+        for k in range(len(self.langs)):
+            moved = False
+            for lane in follows.tolist():
+                state = int(end[k, lane - 1])
+                if lane not in changed and (not moved or state == start[k, lane]):
+                    moved = False
+                    continue
+                start[k, lane], n = state, 0
+                for c in flat[lane].tolist():
+                    go = table[state + c]
+                    n += go & 1
+                    state = go & -2
+                moved = state != end[k, lane]
+                end[k, lane], total[k, lane] = state, n
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score (its share of the inverse normalised phrase counts) of texts that have letters."""
         if not self.langs:
