@@ -67,7 +67,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     covered = later.groupBy("id", "of").agg(F.collect_set("pos").alias("starts"))
     covered = scratch.table(covered.select(F.col("id").alias("_id"), F.col("of").alias("_of"), "starts"), "covered")
     scratch.drop("windows")
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     starts, cut = free_name(docs, "starts"), free_name(docs, "cut")
     covered = covered.withColumnRenamed("starts", starts)
     # the same plan at every size: a broadcast that fits small inputs only would hide what large ones shuffle

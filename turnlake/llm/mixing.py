@@ -156,7 +156,7 @@ def mix(docs: DataFrame, membership: Membership, targets: dict[str, float] | Non
     if sorted(targets) != membership.domains:
         raise ValueError("targets and classifier differ in their domains")
     made = ("n_tokens", "posterior", "rate", "copies")
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     own = free_name(docs, "draw")
     draw = F.pmod(F.xxhash64(F.lit("mix"), F.col(doc_id), F.col(text)), F.lit(1_000_000_007)) / 1_000_000_007.0
     scored = with_posteriors(docs.drop(*made).withColumn(own, draw), membership, "posterior", "n_tokens", text)
