@@ -155,16 +155,11 @@ def test_fact_rows_and_snapshots(spark):
     assert tuple(sinks.merge_counts(stored, good).first()) == (2, 1, 1)
 
 
-def test_upsert_and_archive(spark, tmp_path):
-    schema = "kind string, device string, person string, day string, tool string, driven_tool string, name string, detail string, hour bigint, provider string, surface string, model string, intent string, domain string, depth bigint, delegation string, delegate_tool string, sessions bigint, received_ms bigint"
-    row = lambda device, tool, n: ("session_span", device, "p", "2026-01-06", tool, None, None, None, None, None, None, None, None, None, None, None, None, n, n)
-    store = str(tmp_path / "store")
-    bucket = F.pmod(F.xxhash64("device"), F.lit(64)).cast("int")
-    spark.createDataFrame([row("a", "x", 1), row("a", "y", 1), row("b", "x", 1)], schema).withColumn("bucket", bucket).write.partitionBy("bucket").parquet(store)
-    sinks.upsert_snapshot(spark, store, spark.createDataFrame([row("a", "x", 2), row("a", "x", 3)], schema))
-    assert sorted((r.device, r.tool, r.sessions) for r in spark.read.parquet(store).collect()) == [("a", "x", 3), ("b", "x", 1)]
-    sinks.archive_week(spark.read.parquet(store).drop("bucket"), "2026-01-05", str(tmp_path / "weeks"))
-    assert spark.read.json(str(tmp_path / "weeks")).count() == 2
+def test_archive(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2026-01-06"), ("b", "2026-01-11"), ("c", "2026-01-12")], "device string, day string")
+    for _ in range(2):  # written again, a week is replaced
+        sinks.archive_week(rows, "2026-01-05", str(tmp_path / "weeks"))
+    assert sorted(r.device for r in spark.read.json(str(tmp_path / "weeks")).collect()) == ["a", "b"]
 
 
 def test_stamps(spark):

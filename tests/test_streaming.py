@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnlake.operators import dedupe, rollups
+from turnlake.sources import store
 from turnlake.streaming import ingest
 
 TURNS = "device string, tool string, external_id string, arrived_ms bigint, i bigint, role string, redacted_text string, ts_ms bigint, model string"
@@ -64,7 +65,7 @@ def test_pushes(spark, tmp_path):
     q = ingest.ingest_pushes(segments(spark, tmp_path, parts, schema), str(tmp_path / "store"), str(tmp_path / "cp"), str(tmp_path / "weeks"))
     q.awaitTermination(240)
     q.exception() and pytest.fail(str(q.exception()))
-    assert sorted((r.device, r.tool, r.day) for r in spark.read.parquet(str(tmp_path / "store")).collect()) == [("a", "x", "2025-01-07"), ("b", "x", "2026-01-06")]
+    assert sorted((r.device, r.tool, r.day) for r in store.SnapshotStore(spark, str(tmp_path / "store")).rows().collect()) == [("a", "x", "2025-01-07"), ("b", "x", "2026-01-06")]
 
 
 def test_drain_queue(spark):

@@ -68,16 +68,6 @@ def merge_counts(stored: DataFrame, push: DataFrame) -> DataFrame:
     return kept.agg(F.count("*").alias("stored")).join(keyed.agg(F.count_if(~good).alias("skipped"))).join(gone.agg(F.count("*").alias("pruned")))
 
 
-def upsert_snapshot(spark: SparkSession, path: str, push: DataFrame, buckets: int = 64) -> None:
-    """Apply a push to a store partitioned by a bucket of the device: only the buckets of its devices are rewritten."""
-    bucket = F.pmod(F.xxhash64("device"), F.lit(buckets)).cast("int")
-    touched = push.select(bucket.alias("bucket")).distinct()
-    stored = spark.read.parquet(path)
-    merged = merge_snapshot(stored.join(touched, "bucket", "left_semi").drop("bucket"), push).withColumn("bucket", bucket)
-    merged.write.mode("overwrite").parquet(f"{path}.next")
-    spark.read.parquet(f"{path}.next").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
 def week_rows(rows: DataFrame, start: str) -> DataFrame:
     """Rows of one week, by day (OP-16)."""
     return in_week(rows, start).orderBy("day")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from turnlake.operators import dedupe
-from turnlake.sources import sinks
+from turnlake.sources import sinks, store
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NUMBERED = "device string, tool string, external_id string, seq bigint, role string, redacted_text string, ts_ms bigint, model string"
@@ -102,26 +102,21 @@ def activity_counters(actions: DataFrame, width: str = "1 hour", late: str = "2
 
 
 def ingest_pushes(pushes: DataFrame, path: str, checkpoint: str, archive: str | None = None) -> StreamingQuery:
-    """Apply each batch of fact rows to the store as snapshots of its devices, and rewrite the weeks that it touches (OP-91).
+    """Apply each batch of fact rows to the store as snapshots of its devices, and rewrite the weeks that it changes (OP-91).
 
-    No watermark: rows for past weeks are always taken.
+    No watermark: rows for past weeks are always taken. A batch that is run again after a failure is applied once; the weeks of
+    the archive are rewritten from their own rows in the store, not from a scan of all.
     """
-    from turnlake.functions.text import week_start
 
-    def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    def apply(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        if not table_exists(spark, path):
-            empty = batch.limit(0).withColumn("bucket", F.lit(0))
-            empty.write.partitionBy("bucket").parquet(path)
-            first = sinks.merge_snapshot(batch.limit(0), batch).withColumn("bucket", F.pmod(F.xxhash64("device"), F.lit(64)).cast("int"))
-            first.write.mode("overwrite").partitionBy("bucket").parquet(path)
-        else:
-            sinks.upsert_snapshot(spark, path, batch)
-        if archive:
-            for r in batch.select(week_start(F.col("day")).alias("w")).where("w IS NOT NULL").distinct().collect():
-                sinks.archive_week(spark.read.parquet(path).drop("bucket"), r.w, archive)
+        held = store.SnapshotStore(batch.sparkSession, path)
+        done = held.apply(batch, source=checkpoint, batch=number)
+        for week in done["weeks"] if archive else ():
+            rows = held.rows(weeks=[week])
+            if week != store.NO_WEEK:
+                sinks.archive_week(batch.limit(0) if rows is None else rows, week, archive)
 
     return pushes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
