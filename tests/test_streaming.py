@@ -22,9 +22,12 @@ def run(df, name, mode="append"):
 
 def test_session_state_equals_batch(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ingest.STATE_STORE)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     first = [("d", "t", "s", 1, k, "user" if k % 2 else "assistant", f"x{k // 2}", k, None) for k in range(6)]
     later = [("d", "t", "s", 2, 0, "user", "x2", 9, "m"), ("d", "t", "s", 2, 1, "user", "new", 10, "m"), ("d", "t", "s", 2, 2, "user", "new", 11, None)]
     q = run(ingest.numbered_turns(segments(spark, tmp_path, [first, later], TURNS)), "numbered")
+    assert not q.isActive  # it has ended by itself
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     rows = spark.table("numbered").orderBy("seq").collect()
     q.stop()
     none = F.lit(None).cast("string")

@@ -51,7 +51,8 @@ class SessionState(StatefulProcessor):
 def numbered_turns(turns: DataFrame, idle_days: int = 90) -> DataFrame:
     """Turns of a stream of web or transcript segments, numbered and without repeats (OP-87, OP-57).
 
-    turns has device, tool, external_id, arrived_ms, i, role, redacted_text, ts_ms, model. The session must use STATE_STORE.
+    turns has device, tool, external_id, arrived_ms, i, role, redacted_text, ts_ms, model. The session must use STATE_STORE; where
+    a run is to end once all is read, it must have spark.sql.streaming.noDataMicroBatches.enabled off.
     """
     keys = turns.groupBy("device", "tool", "external_id")
     return keys.transformWithStateInPandas(SessionState(idle_days * 86_400_000), outputStructType=NUMBERED, outputMode="Append", timeMode="ProcessingTime")
