@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from turnlake.plans import raw_queries, registry  # noqa: F401
+from turnlake.plans import incremental_queries, raw_queries, registry  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -89,7 +89,7 @@ def trace_lines(spark: SparkSession, d: str) -> DataFrame:
 def hook_rows(spark: SparkSession, d: str) -> DataFrame:
     a = bridge.actions(spark, d)
     args = json_text(capability=F.concat(F.lit("mail."), F.when(F.col("kind") == "read_only", "list").otherwise("send")), connectorId=F.col("app"), query=F.col("action"))
-    return a.select(F.col("ext_id").cast("long").alias("event_id"), F.concat_ws(":", "session_id", "ext_id").alias("source_ref"), F.lit(None).cast("string").alias("session_id"), F.col("ts_ms").alias("ts"), F.when(F.col("tool") == "browser", "other").otherwise("app_runtime").alias("tool"), args.alias("args_json"))
+    return a.select("device", F.col("ext_id").cast("long").alias("event_id"), F.concat_ws(":", "session_id", "ext_id").alias("source_ref"), F.lit(None).cast("string").alias("session_id"), F.col("ts_ms").alias("ts"), F.when(F.col("tool") == "browser", "other").otherwise("app_runtime").alias("tool"), args.alias("args_json"))
 
 
 def reply_bodies(spark: SparkSession, d: str) -> DataFrame:
