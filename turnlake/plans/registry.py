@@ -152,21 +152,24 @@ def label_batch(spark, d):
     return labeling.newest(queue(spark, d)).select("device", "tool", "external_id", "seq", F.col("place").cast("long").alias("place"))
 
 
+#: The longest prefix of at most 400 bytes: no character takes more than four.
+LINE_SQL = "CASE WHEN strlen(l) <= 400 THEN l ELSE left(l, list_max(list_filter(range(100, 401), lambda k: strlen(left(l, k)) <= 400))) END"
+
+
 @registered(
     "label_context",
-    """SELECT device, tool, external_id, seq, coalesce(array_to_string(list_filter(list(line) OVER (PARTITION BY device, tool, external_id ORDER BY seq ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL), '|'), '') AS context
-    FROM (SELECT *, CASE WHEN regexp_matches(redacted_text, '\\S') THEN role || ': ' || left(trim(redacted_text, E' \\n\\t'), 40) END AS line FROM turns)""".replace("\\\\", "\\"),
+    f"""SELECT device, tool, external_id, seq, coalesce(array_to_string(list_filter(list(line) OVER (PARTITION BY device, tool, external_id ORDER BY seq ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL), '|'), '') AS context
+    FROM (SELECT *, {LINE_SQL} AS line FROM (SELECT *, CASE WHEN regexp_matches(redacted_text, '\\S') THEN role || ': ' || trim(redacted_text, E' \\n\\t') END AS l FROM turns))""",
     "turns",
 )
 def label_context(spark, d):
-    out = labeling.with_context(bridge.turns(spark, d))
-    short = F.transform("context", lambda x: F.concat(F.substring_index(x, ": ", 1), F.lit(": "), F.left(F.substring(x, F.instr(x, ": ") + 2, F.length(x)), F.lit(40))))
-    return out.select("device", "tool", "external_id", "seq", F.array_join(short, "|").alias("context"))
+    """The contexts as a labeler gets them, of up to 400 bytes a line."""
+    return labeling.with_context(bridge.turns(spark, d)).select("device", "tool", "external_id", "seq", F.array_join("context", "|").alias("context"))
 
 
 @registered("label_context_whole")
 def label_context_whole(spark, d):
-    """The contexts as a labeler gets them, of up to 400 bytes a line: without SQL, which can't cut at bytes."""
+    """The contexts as lists, and the whole requests of up to 5,000 bytes."""
     return labeling.with_context(bridge.turns(spark, d)).select("device", "tool", "external_id", "seq", "context", labeling.request_text().alias("request"))
 
 
@@ -459,28 +462,37 @@ def live_board(spark, d):
 
 # --- redaction -------------------------------------------------------------------------------------------------------
 
-RULE = {k: p for k, p, _ in redaction.RULES}
 
 
-@registered(
-    "redact_tokens",
-    rf"""SELECT doc_id, length(regexp_replace(regexp_replace(text, '\b(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA)[A-Z0-9]{{16}}\b', '[REDACTED:aws_key]', 'g'), '(?i)\b(?:api[_-]?key|secret|token|password|passwd|access[_-]?key|client[_-]?secret)\b\s*[:=]\s*[''"]?([A-Za-z0-9_\-\.]{{12,}})[''"]?', '[REDACTED:assigned_secret]', 'g')) AS n
-    FROM documents WHERE lang = 'en'""",
-)
+EDGE, BLANK = r"[^\p{L}\p{N}_]", r"[\x09-\x0D\x1C-\x20\x85\p{Z}]*"
+
+
+def token_sql() -> str:
+    """The two rules in RE2, which has no word bounds of all scripts: with the character in front (and behind), twice, as neighbours may share one."""
+    keys = f"(^|{EDGE})(?:AKIA|ASIA|AGPA|AIDA|AROA|AIPA|ANPA|ANVA)[A-Z0-9]{{16}}({EDGE}|$)"
+    assigned = f"""(?i)(^|{EDGE})(?:api[_-]?key|secret|token|password|passwd|access[_-]?key|client[_-]?secret){BLANK}[:=]{BLANK}[''"]?[A-Za-z0-9_\\-.]{{12,}}[''"]?"""
+    text = "text"
+    for pattern, new in ((keys, r"\1[REDACTED:aws_key]\2"), (assigned, r"\1[REDACTED:assigned_secret]")):
+        for _ in range(2):
+            text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+@registered("redact_tokens", f"SELECT doc_id, length(t) AS n, sha256(t) AS text_sha256 FROM (SELECT doc_id, {token_sql()} AS t FROM documents)")
 def redact_tokens(spark, d):
-    """The rules without a validator, as chained JVM functions."""
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("lang = 'en'")
+    """Cloud keys and assigned secrets replaced in all documents; all nine rules without a validator: redact_tokens_whole."""
     text = F.col("text")
-    for kind in ("aws_key", "assigned_secret"):
-        text = F.regexp_replace(text, RULE[kind], redaction.placeholder(kind).replace("$", r"\$"))
-    return docs.select("doc_id", F.length(text).cast("long").alias("n"))
+    for kind, pattern, _ in redaction.RULES:
+        if kind in ("aws_key", "assigned_secret"):
+            text = F.regexp_replace(text, redaction.spelled(pattern), redaction.placeholder(kind))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.length(text).cast("long").alias("n"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def tokens_redacted(text: Column) -> Column:
-    """text after the nine rules without a validator, as chained JVM functions; (?U) gives word bounds and case as the rules mean them."""
+    """text after the nine rules without a validator, as chained JVM functions."""
     for kind, pattern, ok in redaction.RULES:
         if ok is None:
-            text = F.regexp_replace(text, "(?U)" + pattern, redaction.placeholder(kind))
+            text = F.regexp_replace(text, redaction.spelled(pattern), redaction.placeholder(kind))
     return text
 
 
