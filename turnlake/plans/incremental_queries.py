@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnlake.functions import taxonomy as tx
 from turnlake.plans import bridge, raw
 from turnlake.plans.registry import fact_rows, registered
-from turnlake.sources import incremental, logs, sinks
+from turnlake.sources import incremental, label_store, logs, sinks
 from turnlake.sources.file_index import FileIndex, listing
 from turnlake.sources.store import SnapshotStore
 from turnlake.streaming import ingest, label_queue
@@ -125,3 +125,13 @@ def labels_streamed(spark, d):
     labels = read("results", label_queue.RESULTS).where("last_error IS NULL").select(*label_queue.KEY, F.col("attempt").alias("tries"), F.lit("labeled").alias("state"))
     retired = read("retired", f"{label_queue.KEYS}, attempt int, last_error string").select(*label_queue.KEY, F.col("attempt").alias("tries"), F.lit("retired").alias("state"))
     return labels.unionByName(retired)
+
+
+@registered("labels_purged", f"SELECT device, tool, external_id, seq, intent, depth FROM turn_labels WHERE taxonomy_version = {tx.TAXONOMY_VERSION} AND prompt_version = {tx.PROMPT_VERSION}", "turn_labels")
+def labels_purged(spark, d):
+    """Labels of all versions, written by version; the folders of superseded ones are dropped."""
+    rows, path = bridge.labels(spark, d), sinks.landing(spark, "labels")
+    label_store.append(rows, path, "labels")
+    label_store.purge(spark, path)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return label_store.read(spark, path, "labels", ddl).select(*label_queue.KEY, "intent", "depth")
