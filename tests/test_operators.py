@@ -226,6 +226,67 @@ def test_personas_are_distinct(spark):
     assert {r.person: r.badge for r in recap.personas(df).collect()} == {"ann": "cooked", "bob": "3am coded", "cy": "the ghostwriter", "di": "the ghost", "ed": recap.FALLBACK}
 
 
+def test_first_names(spark):
+    names = {"Ann Other": "Ann", "bob.smith": "bob", "cy_d-e": "cy", " lead": " lead", "-": "-", "": "", "solo": "solo"}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r.n: r.f for r in df.select("n", cl.first_name(F.col("n")).alias("f")).collect()} == names
+
+
+def greedy(found):
+    """Badges by repeated choice: the strongest claim whose person has none and whose badge is free; then without the second condition."""
+    given = {}
+    for free in (True, False):
+        while True:
+            left = [r for r in found if r.badge and r.person not in given and not (free and r.badge in given.values())]
+            if not left:
+                break
+            best = max(left, key=lambda r: (r.score, -r.axis, [-ord(x) for x in r.person]))
+            given[best.person] = best.badge
+    return given
+
+
+def test_personas_of_random_teams(spark):
+    """Three teams of up to 40 people, more than there are axes, many with equal numbers."""
+    draw = random.Random(12)
+    names = [f"p{k:02d}" for k in range(40)]
+    frames = []
+    for team, n in (("a", 40), ("b", 7), ("c", 1)):
+        each = {}
+        for name in names[:n]:
+            each[name] = {m: draw.choice([0, 0, 15, 40, 200, 700]) for m in ("minutes", "turns", "chars", "late_turns", "casual_turns", "draft_turns", "drives", "setup_turns", "own_sessions", "own_minutes", "code_sessions", "code_minutes", "tools", "sessions", "troubleshoot_turns")}
+        frames.append(people(spark, **each).withColumn("team", F.lit(team)))
+    df = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    found, out = recap.claims(df).collect(), recap.personas(df).collect()
+    assert len(out) == 48
+    for team in "abc":
+        given = greedy([r for r in found if r.team == team])
+        assert {r.person: r.badge for r in out if r.team == team} == {r.person: given.get(r.person, recap.FALLBACK) for r in out if r.team == team}
+    assert len({r.badge for r in out if r.team == "a"}) < 40
+
+
+def test_cards_of_two_teams(spark):
+    totals = spark.createDataFrame([("a", "2026-07-20", 630, 11, 120, 2), ("b", "2026-07-20", 1, 0, 1, 1)], "team string, week_start string, minutes bigint, hours bigint, turns bigint, people bigint")
+    margins = [("tool", "claude-code", None, 90), ("tool", "openclaw", None, 30), ("tool_domain", "openclaw", "software", 20), ("tool_domain", "openclaw", "made_up", 10), ("tool_domain", "claude-code", "software", 90), ("domain", "software", None, 110), ("domain", "made_up", None, 10), ("hour", "9", None, 60), ("hour", "15", None, 60), ("day", "2026-07-21", None, 120)]
+    margins = spark.createDataFrame([("a", "2026-07-20", *m) for m in margins], "team string, week_start string, axis string, key string, key2 string, turns bigint")
+    board = recap.podium(spark.createDataFrame([("a", "2026-07-20", "Ann Other", 500), ("a", "2026-07-20", "bob", 130), ("a", "2026-07-20", "cy", 0), ("b", "2026-07-20", "di", 0)], "team string, week_start string, person string, minutes bigint"))
+    badges = spark.createDataFrame([("a", "2026-07-20", "bob", "day one"), ("a", "2026-07-20", "Ann Other", "cooked"), ("b", "2026-07-20", "di", "the cryptid")], "team string, week_start string, person string, badge string")
+    out = recap.cards(totals, margins, board, badges).orderBy("team", "position").collect()
+    got = [(r.team, r.position, r.kind, r.title, r.hero_number, r.hero_text, r.unit, None if r["rows"] is None else [(x.place, x.label, x.text if x.value is None else x.value) for x in r["rows"]]) for r in out]
+    week, own = "Jul 20 – Jul 26, 2026", tx.DISPLAY_NAMES["openclaw"]
+    first = [
+        ("title", "week", None, week, None, None), ("stat", "time spent", 11, None, "hours", None), ("stat", "prompts sent", 120, None, "prompts", None), ("stat", "top tool", None, tx.DISPLAY_NAMES["claude-code"], None, None),
+        ("ranked", "tools", None, None, None, [(1, tx.DISPLAY_NAMES["claude-code"], 75), (2, own, 25)]), ("ranked", "own assistant", None, None, None, [(1, tx.DOMAIN_TITLES.get("software", "Software"), 67), (2, "Made Up", 33)]),
+        ("ranked", "domains", None, None, None, [(1, tx.DOMAIN_TITLES.get("software", "Software"), 92), (2, "Made Up", 8)]), ("stat", "peak hour", None, "9 AM", None, None), ("stat", "busiest day", None, "Tuesday", None, None),
+        ("podium", "hours", None, None, None, [(1, "Ann", 8), (2, "bob", 2)]), ("person", "Ann", None, "cooked", None, None), ("person", "bob", None, "day one", None, None),
+        ("summary", "summary", None, None, None, [(1, "hours", 11), (2, "prompts", 120), (3, "people", 2), (4, "top tool", tx.DISPLAY_NAMES["claude-code"]), (5, "peak hour", "9 AM")]),
+    ]
+    second = [
+        ("title", "week", None, week, None, None), ("stat", "time spent", 1, None, "minute", None), ("stat", "prompts sent", 1, None, "prompt", None), ("stat", "own assistant", 0, None, "% of prompts", None), ("stat", "peak hour", None, "12 AM", None, None), ("person", "di", None, "the cryptid", None, None),
+        ("summary", "summary", None, None, None, [(1, "hours", 0), (2, "prompts", 1), (3, "people", 1), (5, "peak hour", "12 AM")]),
+    ]
+    assert got == [("a", k, *c) for k, c in enumerate(first)] + [("b", k, *c) for k, c in enumerate(second)]
+
+
 def test_partitioning_does_not_change_results(spark):
     from turnlake.plans import registry
 

@@ -64,7 +64,8 @@ def hour_label(hour: Column) -> Column:
 
 
 def first_name(person: Column) -> Column:
-    return F.substring_index(F.trim(person), " ", 1)
+    """What stands in front of the first blank, dot, underscore or hyphen; the whole name if nothing does."""
+    return F.coalesce(F.nullif(F.regexp_extract(person, r"^[^\s._-]+", 0), F.lit("")), person)
 
 
 def capability_kind(capability: Column) -> Column:

@@ -181,7 +181,7 @@ def personas(people: DataFrame) -> DataFrame:
 
 def cards(totals: DataFrame, margins: DataFrame, board: DataFrame, badges: DataFrame) -> DataFrame:
     """Recap cards in order: position, kind, title, hero_number, hero_text, unit, rows (OP-85). Empty sections are left out."""
-    pairs = lambda df, label, n: df.where(F.col("place") <= n).groupBy(*TEAM).agg(F.array_sort(F.collect_list(F.struct("place", label.alias("label"), F.col("value").cast("long").alias("value")))).alias("r"))
+    pairs = lambda df, label, n: df.where(F.col("place") <= n).groupBy(*TEAM).agg(F.array_sort(F.collect_list(F.struct("place", label.alias("label"), F.col("value").cast("long").alias("value"), F.lit(None).cast("string").alias("text")))).alias("r"))
     tool = ranked(margins, "tool").withColumn("value", F.col("pct"))
     own = ranked(margins, "tool_domain", OWN).withColumn("value", F.col("pct"))
     domain = ranked(margins, "domain").withColumn("value", F.col("pct"))
@@ -191,21 +191,22 @@ def cards(totals: DataFrame, margins: DataFrame, board: DataFrame, badges: DataF
     for df, label, name in ((tool, cl.tool_name(F.col("key")), "tools"), (own, cl.domain_title(F.col("key")), "owns"), (domain, cl.domain_title(F.col("key")), "domains")):
         base = base.join(pairs(df, label, 5).withColumnRenamed("r", name), TEAM, "left")
     base = base.join(pairs(hours, cl.first_name(F.col("person")), 1 << 30).withColumnRenamed("r", "board"), TEAM, "left").join(people, TEAM, "left")
-    row = T.ArrayType(T.StructType([T.StructField("place", T.LongType()), T.StructField("label", T.StringType()), T.StructField("value", T.LongType())]))
+    row = T.ArrayType(T.StructType([T.StructField("place", T.LongType()), T.StructField("label", T.StringType()), T.StructField("value", T.LongType()), T.StructField("text", T.StringType())]))
 
-    def card(kind: str, title: str, number: Column | None = None, text: Column | None = None, unit: str | None = None, rows: Column | None = None, when: Column | None = None) -> Column:
-        made = F.struct(F.lit(kind).alias("kind"), F.lit(title).alias("title"), (F.lit(None) if number is None else number).cast("long").alias("hero_number"), (F.lit(None) if text is None else text).cast("string").alias("hero_text"), F.lit(unit).cast("string").alias("unit"), (F.lit(None) if rows is None else rows).cast(row).alias("rows"))
+    def card(kind: str, title: str, number: Column | None = None, text: Column | None = None, unit: Column | str | None = None, rows: Column | None = None, when: Column | None = None) -> Column:
+        made = F.struct(F.lit(kind).alias("kind"), F.lit(title).alias("title"), (F.lit(None) if number is None else number).cast("long").alias("hero_number"), (F.lit(None) if text is None else text).cast("string").alias("hero_text"), (unit if isinstance(unit, Column) else F.lit(unit)).cast("string").alias("unit"), (F.lit(None) if rows is None else rows).cast(row).alias("rows"))
         return made if when is None else F.when(when, made)
 
     c = F.col
+    counted = lambda n, one: F.when(c(n) == 1, one).otherwise(f"{one}s")
     short, long = c("minutes") < 60, c("minutes") >= 60
     share = F.coalesce(F.get(F.filter("tools", lambda t: t["label"] == cl.tool_name(F.lit(OWN))), 0)["value"], F.lit(0))
     made = F.array_compact(
         F.array(
             card("title", "week", text=tf.week_label(c("week_start"))),
-            card("stat", "time spent", number=c("minutes"), unit="minutes", when=(c("minutes") > 0) & short),
-            card("stat", "time spent", number=c("hours"), unit="hours", when=long),
-            card("stat", "prompts sent", number=c("turns"), unit="prompts", when=c("turns") > 0),
+            card("stat", "time spent", number=c("minutes"), unit=counted("minutes", "minute"), when=(c("minutes") > 0) & short),
+            card("stat", "time spent", number=c("hours"), unit=counted("hours", "hour"), when=long),
+            card("stat", "prompts sent", number=c("turns"), unit=counted("turns", "prompt"), when=c("turns") > 0),
             card("stat", "top tool", text=F.get("tools", 0)["label"], when=F.size("tools") > 0),
             card("ranked", "tools", rows=c("tools"), when=F.size("tools") > 1),
             card("ranked", "own assistant", rows=c("owns"), when=F.size("owns") > 0),
@@ -217,7 +218,9 @@ def cards(totals: DataFrame, margins: DataFrame, board: DataFrame, badges: DataF
         )
     )
     persons = F.transform(F.coalesce("badges", F.array()), lambda b: F.struct(F.lit("person").alias("kind"), cl.first_name(b["person"]).alias("title"), F.lit(None).cast("long").alias("hero_number"), b["badge"].alias("hero_text"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast(row).alias("rows")))
-    grid = F.array(*[F.struct(F.lit(k).cast("long").alias("place"), F.lit(n).alias("label"), v.cast("long").alias("value")) for k, (n, v) in enumerate((("hours", c("hours")), ("prompts", c("turns")), ("people", c("people"))), 1)])
+    none, peak = F.lit(None), cl.hour_label(F.coalesce("peak_hour", F.lit(0)))
+    cells = [("hours", c("hours"), none, F.lit(True)), ("prompts", c("turns"), none, F.lit(True)), ("people", c("people"), none, F.lit(True)), ("top tool", none, F.get("tools", 0)["label"], F.size("tools") > 0), ("peak hour", none, peak, F.lit(True))]
+    grid = F.array_compact(F.array(*[F.when(there, F.struct(F.lit(k).cast("long").alias("place"), F.lit(n).alias("label"), v.cast("long").alias("value"), t.cast("string").alias("text"))) for k, (n, v, t, there) in enumerate(cells, 1)]))
     whole = F.concat(made, persons, F.array(card("summary", "summary", rows=grid)))
     return base.select(*TEAM, F.posexplode(whole).alias("position", "x")).select(*TEAM, "position", "x.*")
 
