@@ -210,7 +210,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, reranked: int = 50
     Every vector is indexed and every query of is_query (an expression over vec_id) is answered; the codebooks are fitted to
     at most TRAINED_ON of them, chosen by a hash of their ids. Scores and neighbours are exact at every size of the table; `reranked` is only how many
     are scored before the error bound tells which others can matter. Ties go to the smaller vec_id; fewer rows come out where there are fewer candidates. Vectors that are null, empty, zero, of another dimension than most, or
-    hold null or non-finite components take no part. Rows with equal vec_ids count once, with the least vector.
+    hold null or non-finite components take no part. Rows with equal vec_ids count once, with the least vector. An empty
+    table gives an empty one; only the two named columns are read, so others may have any name.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "additive-ann")

@@ -589,7 +589,11 @@ def digest(media: pd.Series) -> pd.DataFrame:
 
 
 def with_media(docs: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
-    """docs with the FLAC stream of each text's padded UTF-8 bytes; null counts as empty; a column of that name is replaced."""
+    """docs with the FLAC stream of each text's padded UTF-8 bytes; null counts as empty; a column of that name is replaced.
+
+    Very long texts are one stream of many frames. Equal texts give equal streams (ties), repeated rows each their own; an
+    empty table gives an empty one; other columns stay as they are.
+    """
     return docs.withColumn(into, store(F.col(text)))
 
 

@@ -57,7 +57,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     Occurrences are ordered by doc_id (nulls first), then position; rows that share a doc_id and the whole text are
     one document and keep the same lines. Null texts stay null with 0 lines; texts of fewer than three lines
     have no window and stay; windows of white space only are ignored; a text may become empty. Columns
-    named n_lines and n_removed are replaced, all others kept; no row is dropped.
+    named n_lines and n_removed, in any case, are replaced, all others kept; no row is dropped. Very long texts are cut into lines
+    whole; equal windows are ties that the first place wins; an empty table gives an empty one.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     all_windows = scratch.table(windows(docs, doc_id, text), "windows")

@@ -150,7 +150,8 @@ def mix(docs: DataFrame, membership: Membership, targets: dict[str, float] | Non
 
     Texts are read once: what the fit and the result need is written to the shared folder. Null and empty texts have no
     tokens and don't sway the fit. Rows with equal doc_ids and texts get equal values; a null doc_id is hashed
-    like any other value. No row is dropped here; columns of these names are replaced.
+    like any other value. No row is dropped here; columns of these names, in any case, are replaced. Very long texts are counted
+    whole; documents with one posterior (ties) have one rate; an empty table gives an empty one.
     """
     targets = targets or TARGETS
     if sorted(targets) != membership.domains:

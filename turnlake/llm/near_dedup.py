@@ -251,7 +251,8 @@ def duplicate_classes(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     Documents link when den * |intersection| >= num * |union| of their sets of distinct shingles of `words` words.
     A text of fewer words is one shingle; null and empty texts and texts without words have an empty set and link
     with nothing. Rows that share a doc_id are one document that has the links of each of them. A null doc_id
-    links with nothing: its component is null and it is kept.
+    links with nothing: its component is null and it is kept. Very long texts have their whole sets; among equal ones (ties) the
+    least doc_id stands for all; an empty table gives an empty one. Only the two named columns are read, so others may have any name.
     """
     spark, threshold = docs.sparkSession, num / den
     scratch = Scratch(spark, "near-dedup")
