@@ -60,7 +60,7 @@ def narrator_log(lines: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(None).cast("string").alias("step"), F.array().cast("array<struct<step:string,app:string>>").alias("out"))
 
     def fold(acc, t):
-        paired = F.struct(F.lit(None).cast("string").alias("step"), F.concat(acc["out"], F.array(F.struct(F.coalesce(acc["step"], "shortcut").alias("step"), F.substring(t, 9, 1 << 20).alias("app")))).alias("out"))
+        paired = F.struct(F.lit(None).cast("string").alias("step"), F.concat(acc["out"], F.array(F.struct(F.coalesce(acc["step"], "shortcut").alias("step"), F.substr(t, F.lit(9)).alias("app")))).alias("out"))
         return F.when(t.startswith("command="), paired).when(dotted(t), F.struct(t.alias("step"), acc["out"].alias("out"))).otherwise(acc)
 
     steps = F.aggregate(F.split("rest", r"\s+"), zero, fold)["out"]
