@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnlake.sources import sinks
-from turnlake.sources.store import SUMS, TOTALS, SnapshotStore
+from turnlake.sources.store import PARTS, SUMS, TOTALS, SnapshotStore
 from turnlake.sources.versions import Conflict, Versions
 
 SCHEMA = (
@@ -143,3 +143,37 @@ def test_a_push_reads_its_own_weeks_and_buckets(spark, tmp_path):
     assert len({e.split("/")[0] for e in changed}) == 1 and len(changed) == 2 and len(before) > 20
     kept, again = totals(store, spark)
     assert kept == again
+
+
+def files_of(folder):
+    return [f for f in folder.rglob("*.parquet")]
+
+
+def test_files_follow_buckets_not_weeks(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"), buckets=4)
+    rows = [span(f"d{k % 9}", "x", f"20{10 + k // 300}-{1 + k // 25 % 12:02d}-{1 + k % 25:02d}", k) for k in range(1500)]
+    store.apply(frame(spark, rows))
+    assert len(store.manifest()[1]["entries"]) > 500 and len(files_of(tmp_path / "s/data")) <= 2 * 4 * 2
+    assert len(held(store)) == 1500
+    plan = store.rows(weeks=["2011-03-07"])._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(week), GreaterThanOrEqual(week,2011-03-07), LessThanOrEqual(week,2011-03-07)" in plan
+
+
+def test_crowded_buckets_are_written_together(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"), buckets=1)
+    for k in range(PARTS + 2):
+        done = store.apply(frame(spark, [span(f"d{k}", "x", f"20{10 + k}-01-05", k, k)]))
+        assert len(done["weeks"]) == 1
+        parts = set(store.manifest()[1]["entries"].values())
+        assert len(parts) == (k + 1 if k <= PARTS else 1)
+    assert len(held(store)) == PARTS + 2
+    kept, again = totals(store, spark)
+    assert kept == again
+    assert store.vacuum(keep=1, older_than_ms=0) == PARTS + 1 and len(held(store)) == PARTS + 2
+
+
+def test_columns_that_a_push_leaves_out_stay(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "s"), buckets=64)
+    store.apply(frame(spark, [span("a", "x", "2026-01-06", 5)]))
+    store.apply(frame(spark, [span("b", "x", "2026-01-06", 6)]).drop("longest_minutes"))
+    assert sorted((r.device, r.longest_minutes) for r in store.rows().collect()) == [("a", 5), ("b", None)]
