@@ -175,3 +175,37 @@ def test_text_helpers(spark):
     df = spark.createDataFrame([("a\nb" + "c" * 200, "é" * 10, " New Topic! ", "2026-07-27")], "a string, b string, c string, d string")
     r = df.select(tf.preview(F.col("a")).alias("p"), tf.hook_preview(F.col("a")).alias("h"), tf.first_bytes(F.col("b"), 5).alias("b"), tf.proposal_id(F.col("c"), F.lit("other")).alias("c"), tf.proposal_id(F.col("c"), F.lit("write_code")).alias("n"), tf.last_full_week(F.col("d")).alias("w"), tf.week_label(F.lit("2026-07-20")).alias("l")).first()
     assert (len(r.p), r.p[:4], r.p[-1], len(r.h), r.h[1], r.b, r.c, r.n, r.w, r.l) == (120, "a bc", "…", 121, "\n", "éé", "new_topic", None, "2026-07-20", "Jul 20 – Jul 26, 2026")
+
+
+def test_large_files_are_read_in_many_stretches(spark, tmp_path):
+    """What every format gives is the same whether a file is one stretch or dozens; ids and models stand far from the lines they hold for."""
+    stamp = lambda k: f"2026-01-01T00:{k // 60:02d}:{k % 60:02d}Z"
+    claude = [{"type": "summary"}] + [{"type": "user", "timestamp": stamp(k), "message": {"content": f"ask {k}" + "." * (k % 70)}} if k % 3 else {"type": "assistant", "timestamp": stamp(k), "message": {"content": [{"type": "text", "text": f"say {k}"}], **({"model": "late"} if k > 200 else {})}} for k in range(300)]
+    claude += ["not json", "", {"type": "summary", "sessionId": "at-the-end"}]
+    rollout = [{"timestamp": stamp(k), "type": "event_msg", "payload": {"type": ("user_message", "agent_message", "token_count")[k % 3], "message": f"text {k}"}} for k in range(300)]
+    rollout[5:5] = [{"type": "session_meta", "payload": {"session_id": "first"}}, {"type": "turn_context", "payload": {"model": "gpt-5"}}]
+    rollout[290:290] = [{"type": "session_meta", "payload": {"session_id": "last"}}, {"type": "turn_context", "payload": {"model": "o3"}}]
+    claw = [message("assistant", [{"type": "text", "text": f"do {k}"}, call("app_runtime", {"capability": "mail.send", "connectorId": "mail"}, "" if k % 2 else f"c{k}"), call("sessions_spawn", {"agentId": "codex"})], 1000 + k // 7) for k in range(300)]
+    claw += [{"type": "model_change", "modelId": "claude-z"}, {"type": "session", "id": "s9"}]
+    for folder, name, lines in (("a", "s.jsonl", claude), ("b", "rollout-1.jsonl", rollout), ("c", "t.jsonl", claw)):
+        (tmp_path / folder / "device=m1").mkdir(parents=True)
+        (tmp_path / folder / "device=m1" / name).write_bytes("\r\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines).encode())
+
+    def results(limit):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        a, b, c = (transcripts.files(spark, str(tmp_path / k), "*.jsonl") for k in "abc")
+        stretches = [x.select("stretch").distinct().count() for x in (a, b, c)]
+        outs = [transcripts.claude_code(a), transcripts.codex(b), transcripts.openclaw(c)]
+        frames = [x for o in outs for x in (o.turns, o.sessions, o.delegations) if x is not None] + [transcripts.agent_actions(c)]
+        return stretches, [sorted(map(repr, f.collect())) for f in frames]
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        one, whole = results("128m")
+        many, split = results("2000b")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert one == [1, 1, 1] and min(many) > 10
+    assert split == whole and [len(x) for x in whole] == [300, 1, 200, 1, 300, 1, 43, 300]
+    assert "external_id='at-the-end'" in whole[1][0] and "model='late'" in whole[1][0] and "external_id='last'" in whole[3][0] and "model='gpt-5'" in whole[3][0] and "external_id='s9'" in whole[5][0]
+    assert sum("auto-" in x for x in whole[7]) == 150 and len(set(whole[7])) == 300
