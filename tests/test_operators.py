@@ -148,12 +148,27 @@ def test_queue_and_retry_cap(spark):
     labels = spark.createDataFrame([("d", "t", "s", 0, tx.TAXONOMY_VERSION, tx.PROMPT_VERSION), ("d", "t", "s", 2, tx.TAXONOMY_VERSION, 99)], KEY + "seq bigint, taxonomy_version bigint, prompt_version bigint")
     ledger = spark.createDataFrame([("d", "t", "s", 4, tx.PROMPT_VERSION, 5)], KEY + "seq bigint, prompt_version bigint, attempts bigint")
     assert [r.seq for r in labeling.queue(turns, sessions, labels, ledger).collect()] == [2]
+    assert [(r.seq, r.redacted_text, r.place) for r in labeling.batch(turns, sessions, labels, ledger).collect()] == [(2, "x2", 1)]
     context = {r.seq: r.context for r in labeling.with_context(turns).collect()}
     assert context[0] == [] and context[2] == ["user: x0", "assistant: x1"]
     asked = labeling.with_context(turns).where("seq = 2").select(labeling.request_text().alias("r")).first().r
     assert asked == "EARLIER IN THIS CONVERSATION:\n- user: x0\n- assistant: x1\n\nLATEST REQUEST:\nx2"
 
 
+def test_batch_is_the_newest_of_the_queue(spark):
+    said = lambda d, k: None if k % 11 == 0 else " \n" if (d + k) % 7 == 0 else f"text {d} {k}"
+    rows = [(f"d{d}", "t", f"s{k % 5}", k, "user" if k % 3 else "assistant", said(d, k), k // 4) for d in range(4) for k in range(40 * d)]
+    turns = spark.createDataFrame(rows, KEY + "seq bigint, role string, redacted_text string, ts_ms bigint")
+    sessions = spark.createDataFrame([(f"d{d}", "t", f"s{k}", "m") for d in range(4) for k in range(4)], KEY + "model string")
+    labels = spark.createDataFrame([(f"d{d}", "t", f"s{k % 5}", k, tx.TAXONOMY_VERSION, tx.PROMPT_VERSION) for d in range(4) for k in range(0, 160, 9)], KEY + "seq bigint, taxonomy_version bigint, prompt_version bigint")
+    ledger = spark.createDataFrame([(f"d{d}", "t", f"s{k % 5}", k, tx.PROMPT_VERSION, 5 - k % 2) for d in range(4) for k in range(0, 160, 7)], KEY + "seq bigint, prompt_version bigint, attempts bigint")
+    made, plain = labeling.batch(turns, sessions, labels, ledger, 10), labeling.newest(labeling.queue(turns, sessions, labels, ledger), 10)
+    columns = sorted(plain.columns)
+    assert sorted(made.columns) == columns
+    got, want = (sorted(map(repr, x.select(columns).collect())) for x in (made, plain))
+    assert got == want and 15 < len(got) < 30
+
+
 def reply(**more):
     return {"intent": "write_code", "domain": "security", "depth": 2, "delegation": "none", "delegate_tool": "none", "confidence": 0.5, **more}
 

@@ -39,10 +39,21 @@ def queue(turns: DataFrame, sessions: DataFrame, labels: DataFrame, failures: Da
     return asked.join(done, TURN, "left_anti").join(retired, TURN, "left_anti")
 
 
+def ranked(queued: DataFrame, per_device: int = BATCH) -> DataFrame:
+    """The newest requests of each device with their `place`."""
+    w = Window.partitionBy("device").orderBy(F.desc("ts_ms"), "tool", "external_id", F.desc("seq"))
+    return queued.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_device)
+
+
 def newest(queued: DataFrame, per_device: int = BATCH) -> DataFrame:
     """The newest requests of each device, blank ones left out afterwards (OP-80)."""
-    w = Window.partitionBy("device").orderBy(F.desc("ts_ms"), "tool", "external_id", F.desc("seq"))
-    return queued.withColumn("place", F.row_number().over(w)).where((F.col("place") <= per_device) & F.col("redacted_text").rlike(r"\S"))
+    return ranked(queued, per_device).where(F.col("redacted_text").rlike(r"\S"))
+
+
+def batch(turns: DataFrame, sessions: DataFrame, labels: DataFrame, failures: DataFrame, per_device: int = BATCH) -> DataFrame:
+    """newest(queue(...)) of turns whose keys are unique: keys alone go through joins and ranking, texts are read for the chosen rows."""
+    chosen = ranked(queue(turns.select(*TURN, "role", "ts_ms"), sessions, labels, failures), per_device).drop("role", "ts_ms")
+    return turns.join(chosen, TURN).where(F.col("redacted_text").rlike(r"\S"))
 
 
 def with_context(turns: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def label_queue(spark, d):
     "turns", "sessions", "turn_labels", "label_failures",
 )
 def label_batch(spark, d):
-    return labeling.newest(queue(spark, d)).select("device", "tool", "external_id", "seq", F.col("place").cast("long").alias("place"))
+    return labeling.batch(bridge.turns(spark, d), bridge.sessions(spark, d), bridge.labels(spark, d), bridge.failures(spark, d)).select("device", "tool", "external_id", "seq", F.col("place").cast("long").alias("place"))
 
 
 #: The longest prefix of at most 400 bytes: no character takes more than four.
