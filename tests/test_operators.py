@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from turnlake.functions import classify as cl
 from turnlake.functions import redaction
 from turnlake.functions import taxonomy as tx
+from turnlake.functions import text as tf
 from turnlake.operators import dedupe, labeling, recap, rollups
 from turnlake.plans import bridge, registry
-from turnlake.sources import sinks, transcripts, web
+from turnlake.sources import logs, sinks, transcripts, web
 
 KEY = "device string, tool string, external_id string, "
 
@@ -36,6 +37,21 @@ def test_redaction_rules(spark):
     assert totals["email"] == 1
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_audit_runs_each_rule_once(spark):
+    """A filter that the optimizer puts before an explode, or moves below a column, must not repeat the rules."""
+    df = spark.createDataFrame([("a", "mail ann@example.com or bob@example.com"), ("b", None), ("a", "555-123-4567")], "source string, text string")
+    found = redaction.redacted(df, "text", "counts")
+    audited = redaction.audit(found, "counts", "source")
+    assert {tuple(r) for r in audited.collect()} == {("a", "email", 2), ("a", "phone", 1)}
+    for kind, _, _ in redaction.RULES:
+        assert optimized(audited).count(redaction.placeholder(kind)) == 1, kind
+        assert optimized(found.where("size(counts) > 0")).count(redaction.placeholder(kind)) <= 2, kind
+
+
 def test_no_match_passes_the_filter_by(spark):
     number = "4111111111111111"
     alone = {" ".join(number): "credit_card", "-".join(number): "credit_card", " ".join(number[k : k + 2] for k in range(0, 16, 2)): "credit_card", "-".join(number[k : k + 2] for k in range(0, 16, 2)): "credit_card"}

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnlake.functions.text import let
+
 
 def card_ok(match: str) -> bool:
     digits = [int(c) for c in match if c in "0123456789"]
@@ -48,7 +52,7 @@ HOLDS = {
     "credit_card": r"\p{Nd}(?:[ -]?\p{Nd}){12}", "us_ssn": r"\p{Nd}{3}-\p{Nd}{2}-\p{Nd}{4}", "phone": r"\p{Nd}{3}[ .\-]\p{Nd}{3}",
 }
 #: Characters that a match of these rules begins with, so that word bounds are looked for there only.
-BEGINS = {"credit_card": r"(?=\p{Nd})", "us_ssn": r"(?=\p{Nd})", "phone": r"(?=[+(\p{Nd}])", "assigned_secret": "(?=[AaCcPpSsTt\u017f])", "email": r"(?=[A-Za-z0-9._%+\-])"}
+BEGINS = {"aws_key": "(?=A)", "github_token": "(?=g)", "openai_key": "(?=sk-)", "slack_token": "(?=xox)", "stripe_key": "(?=[srp]k_)", "google_api_key": "(?=AIza)", "credit_card": r"(?=\p{Nd})", "us_ssn": r"(?=\p{Nd})", "phone": r"(?=[+(\p{Nd}])", "assigned_secret": "(?=[AaCcPpSsTt\u017f])", "email": r"(?=[A-Za-z0-9._%+\-])"}
 _compiled = [(kind, re.compile(pattern), ok) for kind, pattern, ok in RULES]
 
 # What the patterns' short forms mean, spelled out for the JVM: letters, digits and white space of all scripts.
@@ -108,11 +112,6 @@ def phone_valid(match: Column) -> Column:
 VALID = {card_ok: card_valid, ssn_ok: ssn_valid, phone_ok: phone_valid}
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once however often body uses it; an optimizer that moves the whole doesn't multiply it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def swapped(text: Column, found: Column, pattern: str, kind: str, valid: Callable[[Column], Column]) -> Column:
     """text with the valid ones of a pattern's matches (`found`) replaced and the others left: pieces and matches, put together again."""
     said = lambda k: let(F.get(found, k), lambda m: F.when(valid(m), F.lit(placeholder(kind))).otherwise(m))
@@ -130,26 +129,44 @@ def after_rule(state: Column, kind: str, pattern: str, ok: Callable[[str], bool]
     return F.when(text.rlike(HOLDS[kind]), changed).otherwise(step(text, F.lit(0)))
 
 
+def after_token_rule(text: Column, kind: str) -> Column:
+    """text after one of the rules without a validator, which looks only at texts that hold what its matches hold."""
+    pattern = next(p for k, p, ok in RULES if k == kind and ok is None)
+    swap = lambda t: F.when(t.rlike(HOLDS[kind]), F.regexp_replace(t, BEGINS.get(kind, "") + spelled(pattern), placeholder(kind))).otherwise(t)
+    return let(text, swap)
+
+
 def redacted(df: DataFrame, column: str, counts: str | None = None) -> DataFrame:
     """df with `column` redacted and, if named, a map of the counts by kind (OP-47, OP-48, OP-49). Null stays null.
 
     All rules are one column expression, each over what the rule before it left. A rule looks at a text only if the text holds
-    what every match of the rule holds.
+    what every match of the rule holds; a text that holds none of these passes as it is.
     """
-    state = F.struct(F.col(column).cast("string").alias("text"), F.array().cast("array<bigint>").alias("n"))
-    for kind, pattern, ok in RULES:
-        state = let(state, lambda s: after_rule(s, kind, pattern, ok))  # noqa: B023  called at once
+
+    def rules(text: Column) -> Column:
+        state = F.struct(text.alias("text"), F.array().cast("array<bigint>").alias("n"))
+        for kind, pattern, ok in RULES:
+            state = let(state, lambda s: after_rule(s, kind, pattern, ok))  # noqa: B023  called at once
+        none = F.struct(text.alias("text"), F.array(*[F.lit(0).cast("long")] * len(RULES)).alias("n"))
+        return F.when(reduce(or_, [text.rlike(mark) for mark in HOLDS.values()]), state).otherwise(none)
+
+    state = let(F.col(column).cast("string"), rules)
     df = df.withColumn("_redacted", state)
     done = {column: F.col("_redacted.text")}
     if counts:
-        numbers = F.array(*[F.struct(F.lit(kind).alias("k"), F.get("_redacted.n", F.lit(k)).alias("n")) for k, (kind, _, _) in enumerate(RULES)])
+        # one use of the column: a filter that the optimizer moves below it repeats all rules for each use
+        kinds = F.array(*[F.lit(kind) for kind, _, _ in RULES])
+        numbers = F.transform("_redacted.n", lambda n, k: F.struct(F.get(kinds, k).alias("k"), n.alias("n")))
         done[counts] = F.map_from_entries(F.filter(numbers, lambda x: x["n"] > 0))
     return df.withColumns(done).drop("_redacted")
 
 
 def audit(df: DataFrame, counts: str, *by: str) -> DataFrame:
-    """Redactions by kind and the given columns (OP-50)."""
-    return df.select(*by, F.explode(counts).alias("kind", "n")).groupBy(*by, "kind").agg(F.sum("n").alias("n"))
+    """Redactions by kind and the given columns (OP-50).
+
+    Exploded as outer, as the optimizer puts a test of the map's size before a plain explode, where all rules would run again.
+    """
+    return df.select(*by, F.explode_outer(counts).alias("kind", "n")).where("kind IS NOT NULL").groupBy(*by, "kind").agg(F.sum("n").alias("n"))
 
 
 def redact_spans(text: Column, spans: Column, least: float = 0.5) -> Column:
