@@ -100,6 +100,18 @@ def test_no_raw_secret_reaches_an_export(spark, tmp_path):
     assert [r.redacted_text for r in web.web_chats(chats)[0].collect()] == ["my [REDACTED:credit_card]"] or card not in web.web_chats(chats)[0].first().redacted_text
 
 
+def test_token_rules_look_only_at_texts_that_hold_a_mark(spark):
+    df = spark.createDataFrame([("a risk-free desk-top, key: none, gh and xoxo at AIza",)], "text string")
+    for column in (registry.tokens_redacted(F.col("text")), redaction.after_token_rule(F.col("text"), "aws_key")):
+        out = df.select(column.alias("t"))
+        assert out.first().t == "a risk-free desk-top, key: none, gh and xoxo at AIza"
+        assert optimized(out).count("RLIKE") == optimized(out).count("regexp_replace(") > 0
+    for kind, pattern, _ in redaction.RULES:  # what a rule may begin with leaves no match out
+        for text in ("AKIA" + "A" * 16, "ghs_" + "a" * 36, "github_pat_" + "b" * 22, "sk-" + "b" * 24, "xoxs-" + "1" * 12, "rk_live_" + "c" * 16, "pk_live_" + "c" * 16, "AIza" + "d" * 35):
+            if re.search(pattern, text):
+                assert df.select(F.regexp_count(F.lit(f"x {text}."), F.lit(redaction.BEGINS.get(kind, "") + redaction.spelled(pattern)))).first()[0] == 1, (kind, text)
+
+
 def test_token_rules_over_all_languages(spark, tmp_path):
     plain = [(kind, re.compile(pattern)) for kind, pattern, ok in redaction.RULES if ok is None]
     assert len(plain) == 9

@@ -482,17 +482,17 @@ def token_sql() -> str:
 def redact_tokens(spark, d):
     """Cloud keys and assigned secrets replaced in all documents; all nine rules without a validator: redact_tokens_whole."""
     text = F.col("text")
-    for kind, pattern, _ in redaction.RULES:
-        if kind in ("aws_key", "assigned_secret"):
-            text = F.regexp_replace(text, redaction.spelled(pattern), redaction.placeholder(kind))
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.length(text).cast("long").alias("n"), F.sha2(text, 256).alias("text_sha256"))
+    for kind in ("aws_key", "assigned_secret"):
+        text = redaction.after_token_rule(text, kind)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.alias("text"))
+    return docs.select("doc_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def tokens_redacted(text: Column) -> Column:
     """text after the nine rules without a validator, as chained JVM functions."""
-    for kind, pattern, ok in redaction.RULES:
+    for kind, _, ok in redaction.RULES:
         if ok is None:
-            text = F.regexp_replace(text, redaction.spelled(pattern), redaction.placeholder(kind))
+            text = redaction.after_token_rule(text, kind)
     return text
 
 
