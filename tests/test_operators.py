@@ -130,6 +130,17 @@ def test_token_rules_over_all_languages(spark, tmp_path):
     assert {r.doc_id: r.n for r in registry.QUERIES["redact_tokens_whole"](spark, str(tmp_path)).collect()} == {k: None if t is None else len(redacted(t)) for k, t, _ in rows}
 
 
+def test_a_gateway_line_is_parsed_in_few_passes(spark):
+    """The fields of a stamp come from one pass; a filter moved below them repeats that pass, not one for each field."""
+    stamps = {"2024-01-09T10:00:00.1234Z": 1704794400123, "2024-01-09 10:00+01:30": 1704789000000, "2024-01-09t10:00:00-0030\u2028": 1704796200000, " 2024-02-31T00:00:60.Z \n": 1709337660000, "2024-13-01T00:00Z": None, "x": None, "": None, None: None}
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(stamps)], "id int, t string").select("id", tf.epoch_ms(F.col("t")).alias("ms")).collect()
+    assert {r.id: r.ms for r in rows} == dict(enumerate(stamps.values()))
+    lines = [("d1", f'2024-01-09T10:00:00.5Z [action-gate-ui] ui started run=7 key={k} title="mail ann@example.com"') for k in ("a", "-", "")] + [("d1", "noise"), ("d1", None)]
+    acts = logs.gateway_log(spark.createDataFrame(lines, "device string, value string"))
+    assert [(r.action, r.target_redacted, r.ts_ms) for r in acts.collect()] == [("a", "mail [REDACTED:email]", 1704794400500)]
+    assert optimized(acts).count("action-gate-ui") <= 6 and optimized(acts).count(tf.STAMP[:20]) <= 4
+
+
 def test_whole_contexts(spark, monkeypatch):
     texts = ["é" * 300, "x" * 391 + "€uro", " \u4e2d" * 140 + " ", "a" * 394 + "😀", " \n", "short", "y" * 394, "z" * 5000, "ü" * 197 + "b"]
     roles = ["user", "assistant"]

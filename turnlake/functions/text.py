@@ -71,14 +71,20 @@ def epoch_ms(stamp: Column) -> Column:
     A separator T, t or space is required; the zone may be absent (UTC); seconds may be; fractions are cut to milliseconds;
     days to 31 are taken in every month and roll over; anything else gives null.
     """
-    num = lambda k: F.regexp_extract(stamp, STAMP, k).try_cast("int")
-    year, month, day, hour, minute, second = num(1), num(2), num(3), num(4), num(5), F.coalesce(num(6), F.lit(0))
-    frac = F.rpad(F.substring(F.regexp_extract(stamp, STAMP, 7), 1, 3), 3, "0").try_cast("int")
-    zone = F.replace(F.regexp_extract(stamp, STAMP, 8), F.lit(":"), F.lit(""))
-    minutes = F.when(zone.rlike("^[+-]"), F.when(zone.startswith("-"), -1).otherwise(1) * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))).otherwise(0)
-    days = F.unix_date(F.make_date(year, month, F.lit(1))).cast("long") + day - 1
-    ok = stamp.rlike(STAMP) & month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
-    return F.when(ok, days * 86_400_000 + (hour * 3600 + minute * 60 + second).cast("long") * 1000 + frac - minutes.cast("long") * 60_000)
+    fields_of = lambda s: F.split(F.regexp_replace(s, STAMP, "|".join(f"${k}" for k in range(1, 9))), r"\|")
+
+    def of_fields(f: Column) -> Column:
+        num = lambda k: F.get(f, k).try_cast("int")
+        year, month, day, hour, minute, second = num(0), num(1), num(2), num(3), num(4), F.coalesce(num(5), F.lit(0))
+        frac = F.rpad(F.substring(F.get(f, 6), 1, 3), 3, "0").try_cast("int")
+        zone = F.replace(F.get(f, 7), F.lit(":"), F.lit(""))
+        minutes = F.when(zone.rlike("^[+-]"), F.when(zone.startswith("-"), -1).otherwise(1) * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))).otherwise(0)
+        days = F.unix_date(F.make_date(year, month, F.lit(1))).cast("long") + day - 1
+        ok = month.between(1, 12) & day.between(1, 31) & (hour <= 23) & (minute <= 59) & (second <= 60)
+        return F.when(ok, days * 86_400_000 + (hour * 3600 + minute * 60 + second).cast("long") * 1000 + frac - minutes.cast("long") * 60_000)
+
+    # one pass of the pattern for all fields, however large the expression of the stamp is
+    return let(stamp, lambda s: F.when(s.rlike(STAMP), let(fields_of(s), of_fields)))
 
 
 def utc_day(ms: Column) -> Column:
