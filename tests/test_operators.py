@@ -100,6 +100,20 @@ def test_no_raw_secret_reaches_an_export(spark, tmp_path):
     assert [r.redacted_text for r in web.web_chats(chats)[0].collect()] == ["my [REDACTED:credit_card]"] or card not in web.web_chats(chats)[0].first().redacted_text
 
 
+def test_files_by_day_grow_with_days_or_rows_not_both(spark, tmp_path):
+    rows = [(f"2024-{1 + k % 300 // 28:02d}-{1 + k % 28:02d}" if k < 3000 else "2024-01-01", k, f"e{k}", None if k % 2 else "x") for k in range(6000)]
+    df = spark.createDataFrame(rows, "day string, ts_ms bigint, event_id string, note string")
+    sinks.write_by_day(df, path := str(tmp_path / "out"), "ts_ms", "event_id")
+    files = list((tmp_path / "out").rglob("*.json"))
+    assert len(files) <= len({r[0] for r in rows}) + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for f in files:
+        stamps = [json.loads(line)["ts_ms"] for line in f.read_text().splitlines()]
+        assert stamps == sorted(stamps)
+    sinks.write_by_day(df.where("day = '2024-01-01' AND ts_ms < 3000"), path, "ts_ms", "event_id")  # one day again, the others stay
+    kept = sorted(tuple(r) for r in spark.read.schema(df.schema).json(path).select("day", "ts_ms", "event_id", "note").collect())
+    assert kept == sorted((r for r in rows if r[0] != "2024-01-01" or r[1] < 3000), key=lambda r: (r[0], r[1]))
+
+
 def test_token_rules_look_only_at_texts_that_hold_a_mark(spark):
     df = spark.createDataFrame([("a risk-free desk-top, key: none, gh and xoxo at AIza",)], "text string")
     for column in (registry.tokens_redacted(F.col("text")), redaction.after_token_rule(F.col("text"), "aws_key")):

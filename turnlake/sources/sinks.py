@@ -40,8 +40,22 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_by_day(rows: DataFrame, path: str, *order: str) -> None:
-    """JSON lines by day; null fields are left out; each file is ordered, no global sort (OP-86)."""
-    rows.repartition("day", F.pmod(F.xxhash64("event_id"), F.lit(16))).sortWithinPartitions("day", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").json(path)
+    """JSON lines by day; null fields are left out; each file is ordered, no global sort (OP-86).
+
+    Ranges of days, of about equal rows: a day's file is split only where a range ends, so files grow with days or with rows, not with both.
+    """
+    ranges = rows.repartitionByRange("day", F.xxhash64("event_id"))
+    by_folder(ranges.sortWithinPartitions("day", *order), path, "day")
+
+
+def by_folder(rows: DataFrame, path: str, *folders: str) -> None:
+    """Rewrite the folders that rows has rows for, as JSON lines.
+
+    Tasks put their files into the staging folder of the write as they end, which is moved into place at the end (the committer's
+    second form): the driver would move the files of all tasks one after the other.
+    """
+    staged = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    staged.partitionBy(*folders).json(path)
 
 
 def write_fact_rows(rows: DataFrame, path: str) -> None:
