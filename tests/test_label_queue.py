@@ -4,6 +4,7 @@ import time
 
 import pytest
 from pyspark.errors import StreamingQueryException
+from pyspark.sql import Row
 
 from turnlake.sources.file_index import FileIndex, listing
 from turnlake.streaming import ingest, label_queue
@@ -35,6 +36,39 @@ def test_calls_have_deadlines_and_retries():
     assert label_queue.call_all(labeler, []) == []
 
 
+def test_a_turn_reads_and_writes_its_state_once():
+    """A turn's rows come and go as rows, without a frame for each turn."""
+    calls = []
+
+    class State:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+    now = type("Now", (), {"getCurrentProcessingTimeInMs": lambda self: 5})()
+    attempts, row = label_queue.Attempts(0, 2), Row("attempt", "request", "last_error")
+    attempts.init(Handle())
+    come = lambda *rows: [tuple(r) for r in attempts.handleInputRows(("d", "t", "e", 0), iter(rows), now)]
+    assert come(row(0, "text", None)) == [("d", "t", "e", 0, 1, "text", "request", None)] and calls == ["get", "update"]
+    assert come(row(0, "text", None)) == [] and calls[2:] == ["get"]  # again: nothing to write
+    assert come(row(1, None, "no")) == [] and calls[3:] == ["get", "timer", "update"]
+    assert [tuple(r) for r in attempts.handleExpiredTimer(("d", "t", "e", 0), now, None)] == [("d", "t", "e", 0, 2, "text", "request", None)]
+    assert come(row(2, None, "no")) == [("d", "t", "e", 0, 2, None, "retired", "no")] and attempts.state.held == (None, 2, 0, True)
+
+
 def flaky(text):
     if text == "bad":
         raise ValueError("cannot")

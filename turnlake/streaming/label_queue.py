@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -27,6 +27,7 @@ FACETS = ["intent", "domain", "depth", "delegation", "delegate_tool", "confidenc
 KINDS = {"depth": "bigint", "confidence": "double"}
 RESULTS = f"{KEYS}, attempt int, " + ", ".join(f"{f} {KINDS.get(f, 'string')}" for f in FACETS) + ", last_error string"
 REQUESTS = f"{KEYS}, attempt int, request string, status string, last_error string"
+REQUEST = Row(*[c.split()[0] for c in REQUESTS.split(", ")])
 IDLE_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"  # as the session has it when a query starts
 RETRY_MS = 60_000  # before the second try; doubles with each further one
 CALLS, DEADLINE_S, TRIES, BACKOFF_S = 8, 90.0, 3, 0.5
@@ -113,7 +114,10 @@ def labeled(requests: DataFrame, labeler: Callable[[str], dict], **limits: float
 
 
 class Attempts(StatefulProcessor):
-    """What is known of one turn: its request, how many tries failed, which try is out, when the next one is due."""
+    """What is known of one turn: its request, how many tries failed, which try is out, when the next one is due.
+
+    It works on rows: a frame for each turn's one or two rows would take most of the time.
+    """
 
     def __init__(self, retry_ms: int, most: int):
         self.retry_ms, self.most = retry_ms, most
@@ -122,33 +126,31 @@ class Attempts(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("attempts", "request string, failed int, open int, over boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        request, failed, out, over = self.state.get() if self.state.exists() else (None, 0, 0, False)
-        sent = []
-        for r in sorted((r for batch in rows for r in batch.itertuples()), key=lambda r: (r.attempt > 0, r.attempt)):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        held = self.state.get() or (None, 0, 0, False)
+        request, failed, out, over = held
+        for r in sorted(rows, key=lambda r: r.attempt):
             if r.attempt == 0:  # the turn itself; only its first coming counts
                 if request is None and not over:
                     request, out = r.request, 1
-                    sent.append((*key, 1, request, "request", None))
+                    yield REQUEST(*key, 1, request, "request", None)
             elif r.attempt == out and not over:  # the answer that is waited for, once
                 out = 0
-                if r.last_error is None or pd.isna(r.last_error):
+                if r.last_error is None:
                     over = True
                 elif (failed := failed + 1) >= self.most:
                     over = True
-                    sent.append((*key, failed, None, "retired", r.last_error))
+                    yield REQUEST(*key, failed, None, "retired", r.last_error)
                 else:
                     self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.retry_ms * 2 ** (failed - 1))
-        self.state.update((None if over else request, int(failed), int(out), over))
-        yield pd.DataFrame(sent, columns=[c.split()[0] for c in REQUESTS.split(", ")])
+        if (now := (None if over else request, failed, out, over)) != tuple(held):
+            self.state.update(now)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         request, failed, out, over = self.state.get()
-        sent = []
         if not over and not out and request is not None:
             self.state.update((request, failed, failed + 1, False))
-            sent.append((*key, failed + 1, request, "request", None))
-        yield pd.DataFrame(sent, columns=[c.split()[0] for c in REQUESTS.split(", ")])
+            yield REQUEST(*key, failed + 1, request, "request", None)
 
     def close(self) -> None:
         pass
@@ -166,7 +168,7 @@ def run_queue(spark: SparkSession, turns: DataFrame, results: str, retired: str,
     come = turns.select(*KEY, F.lit(0).alias("attempt"), F.coalesce("request", F.lit("")).alias("request"), F.lit(None).cast("string").alias("last_error"))
     answers = spark.readStream.schema(RESULTS).option("recursiveFileLookup", "true").parquet(results)
     both = come.unionByName(answers.select(*KEY, "attempt", F.lit(None).cast("string").alias("request"), "last_error"))
-    out = both.groupBy(*KEY).transformWithStateInPandas(Attempts(retry_ms, most), outputStructType=REQUESTS, outputMode="Append", timeMode="ProcessingTime")
+    out = both.groupBy(*KEY).transformWithState(Attempts(retry_ms, most), outputStructType=REQUESTS, outputMode="Append", timeMode="ProcessingTime")
 
     def send(batch: DataFrame, number: int) -> None:
         batch.persist()  # one pass over the state
