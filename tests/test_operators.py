@@ -11,7 +11,7 @@ from turnlake.functions import taxonomy as tx
 from turnlake.functions import text as tf
 from turnlake.operators import dedupe, labeling, recap, rollups
 from turnlake.plans import bridge, registry
-from turnlake.sources import logs, sinks, transcripts, web
+from turnlake.sources import facts, logs, sinks, transcripts, web
 
 KEY = "device string, tool string, external_id string, "
 
@@ -114,6 +114,27 @@ def test_files_by_day_grow_with_days_or_rows_not_both(spark, tmp_path):
     assert kept == sorted((r for r in rows if r[0] != "2024-01-01" or r[1] < 3000), key=lambda r: (r[0], r[1]))
 
 
+def test_files_of_fact_rows_grow_with_months_or_rows_not_days(spark, tmp_path):
+    day = lambda k: f"2024-{1 + k % 300 // 28:02d}-{1 + k % 28:02d}"
+    rows = [("session_span" if k % 2 else "analytics_cell", f"d{k}", day(k) if k < 1500 else day(0), k, None if k % 3 else "a\nb") for k in range(3000)]
+    rows += [("label_candidate", None, None, 1, "x"), ("label_candidate", None, "", 2, None)]
+    df = spark.createDataFrame(rows, "kind string, device string, day string, sessions bigint, name string")
+    sinks.write_fact_rows(df.limit(0), path := str(tmp_path / "out"))
+    sinks.write_fact_rows(df, path)
+    files = [p for p in (tmp_path / "out").rglob("part-*") if p.is_file()]
+    assert len(files) <= len({(r[0], (r[2] or "")[:7]) for r in rows}) + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = lambda: sorted((tuple(r) for r in spark.read.schema(df.schema).json(path).select(*df.columns).collect()), key=repr)
+    assert written() == sorted(rows, key=repr)
+    for f in files:
+        days = [json.loads(line).get("day", "") for line in f.read_text().splitlines()]
+        assert days == sorted(days)
+    back = facts.read_fact_files(spark, path)
+    assert back.where("bad").isEmpty() and {(r.kind, r.n) for r in back.groupBy(back.kind).agg(F.count("*").alias("n")).collect()} == {("session_span", 1500), ("analytics_cell", 1500), ("label_candidate", 2)}
+    again = df.where(f"kind = 'session_span' AND day = '{day(1)}' AND sessions < 300").withColumn("sessions", F.lit(7).cast("long"))
+    sinks.write_fact_rows(again.drop("name"), path)  # one day of a kind again and without a column, the others stay as they are
+    assert written() == sorted([(*r[:3], 7, None) if r[:3] == ("session_span", "d1", day(1)) else r for r in rows if r[0] != "session_span" or r[2] != day(1) or r[3] < 300], key=repr)
+
+
 def test_token_rules_look_only_at_texts_that_hold_a_mark(spark):
     df = spark.createDataFrame([("a risk-free desk-top, key: none, gh and xoxo at AIza",)], "text string")
     for column in (registry.tokens_redacted(F.col("text")), redaction.after_token_rule(F.col("text"), "aws_key")):

@@ -48,19 +48,38 @@ def write_by_day(rows: DataFrame, path: str, *order: str) -> None:
     by_folder(ranges.sortWithinPartitions("day", *order), path, "day")
 
 
-def by_folder(rows: DataFrame, path: str, *folders: str) -> None:
-    """Rewrite the folders that rows has rows for, as JSON lines.
+def by_folder(rows: DataFrame, path: str, *folders: str, form: str = "json") -> None:
+    """Rewrite the folders that rows has rows for, as JSON lines (form text: lines as they are).
 
     Tasks put their files into the staging folder of the write as they end, which is moved into place at the end (the committer's
     second form): the driver would move the files of all tasks one after the other.
     """
     staged = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    staged.partitionBy(*folders).json(path)
+    staged.partitionBy(*folders).format(form).save(path)
+
+
+def has_folders(spark: SparkSession, path: str, name: str) -> bool:
+    """Whether a folder holds folders of a partition column."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*")
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p))
 
 
 def write_fact_rows(rows: DataFrame, path: str) -> None:
-    """NDJSON of all kinds by kind and day (OP-14)."""
-    rows.repartition("kind", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", "day").json(path)
+    """NDJSON of all kinds by kind and month, in files ordered by day (OP-14). Days of a kind that rows has rows for are rewritten, others stay.
+
+    A day of a kind is a few rows, so files grow with months or with rows, not with days. A line holds its row's kind and day, for
+    read_fact_files; what else a rewritten month holds is carried over as the lines that it is.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    lines = rows.select(text(F.col("kind")).alias("kind"), text(F.substring("day", 1, 7)).alias("month"), text(F.col("day")).alias("day"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    if has_folders(spark := rows.sparkSession, path, "kind"):
+        stored = spark.read.schema("value string, kind string, month string").text(path)
+        stored = stored.select(*[text(F.col(k)).alias(k) for k in ("kind", "month")], text(F.get_json_object("value", "$.day")).alias("day"), "value")
+        days = lines.select("kind", "month", "day").distinct()
+        others = stored.join(days.select("kind", "month").distinct(), ["kind", "month"], "left_semi").join(days, ["kind", "month", "day"], "left_anti")
+        lines = lines.unionByName(others)
+    ranges = lines.repartitionByRange("kind", "month", "day", F.xxhash64("value"))
+    by_folder(ranges.sortWithinPartitions("kind", "month", "day").select("value", "kind", "month"), path, "kind", "month", form="text")
 
 
 def merge_snapshot(stored: DataFrame, push: DataFrame) -> DataFrame:
